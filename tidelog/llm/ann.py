@@ -69,7 +69,7 @@ def grow(sample: np.ndarray, rng: np.random.Generator, depth: int = DEPTH, least
 
     node(np.arange(len(sample)), depth)
     dims = sample.shape[1] if sample.ndim == 2 else 0
-    return Tree(np.array(normals).reshape(-1, dims), np.array(cuts), np.array(children, int).reshape(-1, 2))
+    return Tree(np.array(normals, float).reshape(len(normals), dims), np.array(cuts), np.array(children, int).reshape(-1, 2))
 
 
 def visits(trees: list[Tree], q: np.ndarray, most: int) -> list[int]:
