@@ -68,8 +68,7 @@ LABELERS = ("regex", "shape", "gazetteer", "check", "cue", "against", "edge")
 def _matches(text: Column, kind: str, pattern: str, gate: str, origin: str) -> Column:
     """Array of candidates with positions in code points: text between matches and matches alternate, so lengths add up."""
     some = F.regexp_like(text, F.lit(gate)) if gate != "@" else F.contains(text, F.lit("@"))
-    found = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    gaps = F.when(some, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     n = F.size(found)
     rows = F.arrays_zip(F.slice(gaps, 1, n).alias("before"), found.alias("match"), F.slice(gaps, 2, n).alias("after"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,origin:string,match:string,before:string,after:string>>").alias("out"))
@@ -81,7 +80,8 @@ def _matches(text: Column, kind: str, pattern: str, gate: str, origin: str) -> C
         new = F.struct(F.lit(kind).alias("kind"), first.alias("start"), last.alias("end"), F.lit(origin).alias("origin"), r["match"].alias("match"), before.alias("before"), after.alias("after"))
         return F.struct(last.alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # Behind the gate, so that the gate alone is evaluated for a text without any.
+    return F.when(some, F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(start["out"])
 
 
 def _digits(c: Column) -> Column:
