@@ -25,7 +25,7 @@ SAMPLE_ROWS = 12_000
 #: Features that the model keeps, and what it takes to be kept: documents, chi-square and log odds.
 FEATURES, LEAST_DOCS, LEAST_CHI2, LEAST_ODDS = 4096, 5, 25.0, 1.0
 DIMS = 1 << 20
-PENALTY, L2, ROUNDS = 4.0, 1e-4, 400
+PENALTY, L2, ROUNDS = 4.0, 1e-6, 1500
 SWAPS = 2
 THRESHOLD = 0.3
 SLICE = 256
