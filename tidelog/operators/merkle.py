@@ -28,7 +28,7 @@ def roots(leaves: DataFrame, most: int) -> DataFrame:
 
 
 def roots_compat(leaves: DataFrame) -> DataFrame:
-    """The reference behaviour: one leaf has no hash, two have one of their data, and from three on all roots are that of nothing."""
+    """The observable variant: one leaf has no hash, two have one of their data, and from three on all roots are that of nothing."""
     return leaves.groupBy("tree").agg(
         F.when(F.count(F.lit(1)) == 1, F.lit("0" * 40))
         .when(F.count(F.lit(1)) == 2, F.sha1(F.concat(F.max(F.when(F.col("pos") == 0, F.col("data"))), F.max(F.when(F.col("pos") == 1, F.col("data")))).cast("binary")))

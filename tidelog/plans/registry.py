@@ -550,7 +550,7 @@ def simhash_hamming(spark, sf_dir):
 
 @query()
 def simhash_compare_compat(spark, sf_dir):
-    """As the reference compares: each stored print is hashed once more as one token; equal prints still have distance 0."""
+    """The observable variant: each stored print is hashed once more as one token; equal prints still have distance 0."""
     fp = checkpointed(fingerprint.fingerprints(fingerprint.tokens(_texts(spark, sf_dir))))
     again = fp.select("id", fingerprint.normal(F.col("fingerprint")).alias("token"))
     bits = again.join(fingerprint.token_bits(again.select("token")), "token").select("id", "bits")

@@ -1,4 +1,4 @@
-"""Live logs: a snapshot kept up to date, and admission by token bucket, as streaming queries. Extensions, not reference behaviour."""
+"""Live logs: a snapshot kept up to date, and admission by token bucket, as streaming queries. Both are extensions."""
 
 from __future__ import annotations
 
