@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +41,15 @@ SLICE = 256
 #: Rows of the word-by-rank matrix that are summed at once.
 ROWS = 64
 
-_WORD = re.compile(r"\w+")
+#: ASCII letters and digits, and whatever isn't ASCII, make words; all else separates them.
+_SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").translate(_SPACED).split()
 
 
-def answer_of(text: str) -> list[str]:
+def answer_of(text: str) -> list[bytes]:
     """Words of the last sentence; of one-sentence items the last fifth."""
     sentences = [s for s in (words_of(x) for x in re.split(r"[.!?\n]+", text or "")) if s]
     if len(sentences) > 1:
@@ -88,11 +90,11 @@ class Items:
     item_id: list
     words: list[np.ndarray]
     answers: list[list[int]]
-    vocab: dict[str, int]
+    vocab: dict[bytes, int]
 
     @classmethod
     def of(cls, rows) -> Items:
-        vocab: dict[str, int] = {}
+        vocab: dict[bytes, int] = {}
         ids, words, answers = [], [], []
         for item_id, text in rows:
             if ws := words_of(text):
@@ -109,7 +111,7 @@ def _texts(batches, column=1) -> Iterator[tuple]:
             yield from zip(part.column(0).to_pylist(), part.column(column).to_pylist(), strict=True)
 
 
-def passage_counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
+def passage_counts(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """In how many passages of all documents each word of the vocabulary is, and how many passages there are."""
     size = len(vocab)
 
@@ -117,7 +119,7 @@ def passage_counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray,
         total, n, get = np.zeros(size, np.int64), 0, vocab.get
         for _, text in _texts(batches):
             ws = words_of(text)
-            ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
+            ids = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
             at = np.flatnonzero(ids >= 0)
             n += -(-len(ws) // PASSAGE)
             total += np.bincount(np.unique(at // PASSAGE * size + ids[at]) % size, minlength=size)
@@ -141,35 +143,48 @@ def anchors(items: Items, df: np.ndarray, share: float) -> tuple[list[np.ndarray
 
 
 def passages(docs: DataFrame, items: Items, df: np.ndarray, share: float) -> DataFrame:
-    """(doc_id, ids): the word ids, -1 for other words, around every place with enough of an item's anchors."""
+    """(doc_id, ids): the word ids, -1 for other words, around every place with enough of an item's words.
+
+    Places with enough anchors are found first; of these, those stay where some window holds as many of the item's words in any
+    order as a leak has in order.
+    """
     rare, least = anchors(items, df, share)
-    holders: dict[int, list[int]] = {}
-    for i, ws in enumerate(rare):
-        for w in ws.tolist():
-            holders.setdefault(w, []).append(i)
-    flag = np.zeros(len(items.vocab) + 1, bool)  # the last stands for -1
-    flag[list(holders)] = True
+    size = len(items.vocab)
+    own = np.concatenate([np.zeros(0, np.int64), *rare])
+    by_word = np.argsort(own, kind="stable")
+    holder = np.repeat(np.arange(len(rare)), [len(r) for r in rare])[by_word]  # items of each anchor, word by word
+    degree = np.bincount(own, minlength=size + 1)  # the last stands for -1
+    first = np.cumsum(degree) - degree
     lengths = np.array([window(len(w)) for w in items.words])
+    needs = np.array([needed(len(w), share) for w in items.words])
     least_ = np.array(least)
+    member = np.zeros((len(items.words), size + 1), bool)
+    for i, ws in enumerate(items.words):
+        member[i, ws] = True
     vocab = items.vocab
 
     def cuts(ids: np.ndarray) -> set[tuple[int, int]]:
-        at = np.flatnonzero(flag[ids])
+        at = np.flatnonzero(degree[ids])
         if len(at) == 0:
             return set()
-        hits = np.array([(i, p) for p, w in zip(at.tolist(), ids[at].tolist(), strict=True) for i in holders[w]], np.int64)
-        hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
-        item, pos = hits[:, 0], hits[:, 1]
-        c, size = least_[item], lengths[item]
-        last = np.arange(len(item)) + c - 1
+        n = degree[ids[at]]
+        pos = np.repeat(at, n)
+        item = holder[np.repeat(first[ids[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.lexsort((pos, item))
+        pos, item = pos[order], item[order]
+        last = np.arange(len(item)) + least_[item] - 1
         ok = last < len(item)
         last = np.minimum(last, len(item) - 1)
-        ok &= (item[last] == item) & (pos[last] - pos < size)
+        ok &= (item[last] == item) & (pos[last] - pos < lengths[item])
         found, before = set(), (-1, -1)
-        for i, p, s in zip(item[ok].tolist(), pos[ok].tolist(), size[ok].tolist(), strict=True):
+        for i, p in zip(item[ok].tolist(), pos[ok].tolist(), strict=True):
             if before[0] != i or p > before[1]:
+                s = int(lengths[i])
                 # Serves every window that starts up to half a window later, too.
-                found.add((max(0, p - s), min(len(ids), p + s + s // 2)))
+                a, z = max(0, p - s), min(len(ids), p + s + s // 2)
+                count = np.cumsum(member[i, ids[a:z]])
+                if count[-1] >= needs[i] and (z - a <= s or (count[s:] - count[:-s]).max() >= needs[i] or count[s - 1] >= needs[i]):
+                    found.add((a, z))
                 before = (i, p + s // 2)
         return found
 
@@ -179,7 +194,7 @@ def passages(docs: DataFrame, items: Items, df: np.ndarray, share: float) -> Dat
             docs_, rows = [], []
             for doc, text in _texts([b]):
                 ws = words_of(text)
-                ids = np.fromiter((get(w, -1) for w in ws), np.int32, len(ws))
+                ids = np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws))
                 for a, z in sorted(cuts(ids)):
                     docs_.append(doc)
                     rows.append(ids[a:z])
@@ -200,11 +215,18 @@ def _weighted(rows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.n
     return row, word, w / np.maximum(norm[row], 1e-12)
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by place; at is in ascending order."""
+    out = np.zeros((n, rows.shape[1]))
+    if len(at):
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out[at[starts]] = np.add.reduceat(rows, starts, axis=0)
+    return out
+
+
 def _times(sparse, dense: np.ndarray, n: int) -> np.ndarray:
     row, word, w = sparse
-    out = np.zeros((n, dense.shape[1]))
-    np.add.at(out, row, w[:, None] * dense[word])
-    return out
+    return _summed(w[:, None] * dense[word], row, n)
 
 
 def _batches_of_rows(batches) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -226,9 +248,9 @@ def latent_space(cut: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK
     def sketch(rows: list[np.ndarray]) -> np.ndarray:
         sparse = _weighted(rows, idf)
         y = _times(sparse, omega, len(rows))
-        out = np.zeros((size, wide))
-        np.add.at(out, sparse[1], sparse[2][:, None] * y[sparse[0]])
-        return out
+        order = np.argsort(sparse[1], kind="stable")
+        row, word, w = (x[order] for x in sparse)
+        return _summed(w[:, None] * y[row], word, size)
 
     def sketches(batches):
         total = np.zeros((size, wide))
