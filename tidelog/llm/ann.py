@@ -167,11 +167,12 @@ def _filed(rows: DataFrame, forest: Forest, asks: bool) -> DataFrame:
 
 
 def _least_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k + 1 rows with the least ids of each set of equal vectors: a query's k best hold no others."""
+    """Places of the k + 1 rows with the least ids of each set of equal vectors: a query's k best hold no others. Repeated rows count once."""
     order = np.lexsort((ids, *x.T[::-1]))
-    same = np.concatenate(([False], (x[order[1:]] == x[order[:-1]]).all(axis=1))) if len(ids) else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(ids))))
-    return order[np.arange(len(ids)) - start <= k]
+    same = lambda o: np.concatenate(([False], (x[o[1:]] == x[o[:-1]]).all(axis=1)))
+    order = order[~(same(order) & np.concatenate(([False], ids[order[1:]] == ids[order[:-1]])))]
+    start = np.maximum.accumulate(np.where(same(order), 0, np.arange(len(order))))
+    return order[np.arange(len(order)) - start <= k]
 
 
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
@@ -230,7 +231,7 @@ def _ranked(met: DataFrame, k: int) -> DataFrame:
 def search(rows: DataFrame, queries: DataFrame, forest: Forest, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best found among rows, but not those of its own id.
 
-    rows and queries: (id, vec) as usable() gives them. Equal scores go to the smaller id; a repeated id counts once. Empty
+    rows and queries: (id, vec) as usable() gives them. Equal scores go to the smaller id; a repeated row counts once. Empty
     tables give an empty result.
     """
     filed, asked = _filed(rows, forest, False), _filed(queries, forest, True)
@@ -253,6 +254,8 @@ def search(rows: DataFrame, queries: DataFrame, forest: Forest, k: int = K, bloc
     met = grid(filed, down, across, True, 0).union(grid(asked, across, down, False, 1))
     met = met.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "ask")
     best = _ranked(met, k).groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("all"))  # at most visits x tasks x k entries a query
-    best = best.select("query_id", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("best"))
+    # A row is in one leaf of each tree, so the best k * trees entries hold the best k rows.
+    first = F.slice(F.sort_array("all"), 1, k * len(forest.trees))
+    best = best.select("query_id", F.slice(F.array_distinct(first), 1, k).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("at", "b"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.s")).alias("score"))
