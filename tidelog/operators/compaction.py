@@ -48,15 +48,11 @@ def flush_exact(log: DataFrame, size: int, shards: int = 1) -> DataFrame:
 
 def _cascade(idx: Column, n: int, max_level: int) -> tuple[Column, Column]:
     """Where run idx of n level-1 runs ends when all levels below max_level are paired, level by level."""
-    level, at, count = F.lit(1), idx, n
-    for lv in range(1, max_level):
-        paired = count // 2 * 2
-        here = level == lv
-        up = here & (at <= paired)
-        at = F.when(up, F.ceil(at / 2)).when(here, F.lit(1)).otherwise(at).cast("long")
-        level = F.when(up, lv + 1).otherwise(level)
-        count //= 2
-    return level, at
+    at = lambda lv: F.ceil(idx / (1 << lv - 1))  # the run's number on its way up
+    level = F.lit(max_level)
+    for lv in reversed(range(1, max_level)):
+        level = F.when(at(lv) > (n >> lv - 1) // 2 * 2, lv).otherwise(level)  # an odd last run stays
+    return level, F.when(level == max_level, at(max_level)).otherwise(1).cast("long")
 
 
 def size_tiered(runs: DataFrame) -> DataFrame:
