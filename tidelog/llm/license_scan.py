@@ -59,9 +59,11 @@ RULES = (
 )
 
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
-#: A sentence ends at its punctuation before white space or the end, at a colon before a line's end, or at a line's end that
-#: follows an empty line; single line ends stay inside sentences where the next line goes on in lower case.
+#: Pieces end at sentence punctuation before white space or the end, and at each line's end. A known sentence may also be
+#: wrapped: neighbouring lines of one sentence are matched together (see _sequence), but not over punctuation or an empty line.
 CUT = f"[.!?:;]+(?:{SPACE}+|\\z)|\\n"
+#: What ends a sentence whatever follows.
+HARD = CUT.removesuffix("|\\n")
 
 
 def normalised(sentence: str) -> str:
@@ -88,13 +90,23 @@ def anchors(pieces: dict[str, str]) -> list[str]:
     return sorted(chosen)
 
 
-def _sequence(text: Column, pieces: dict[str, str]) -> Column:
-    """Comma-joined identifiers of the known sentences of a text, in order; null where there's none."""
-    def norm(s):
-        return F.trim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " "))
+def _lines(text: Column) -> Column:
+    """Normalised words, a line end between lines and an empty line wherever a sentence ends; comment signs vanish."""
+    bare = F.regexp_replace(text, "(?m)^[ \\t]*;+", "")  # signs of a comment, no end of a sentence
+    plain = F.regexp_replace(ascii_lower(F.regexp_replace(bare, HARD, "\n\n")), "[^a-z0-9\\n]+", " ")
+    return F.trim(F.regexp_replace(plain, " ?\\n ?", "\n"))
+
+
+def _pattern(pieces: dict[str, str]) -> str:
+    """Any known piece, from the start of a line to the end of one; longer ones first."""
+    return "(?<![^\\n])(?:" + "|".join(p.replace(" ", "[ \\n]") for p in sorted(pieces, key=lambda p: (-len(p), p))) + ")(?![^\\n])"
 
+
+def _sequence(text: Column, pieces: dict[str, str]) -> Column:
+    """Comma-joined identifiers of the known sentences of a text, wrapped ones too, in order; null where there's none."""
     table = F.create_map(*[F.lit(x) for pair in sorted(pieces.items()) for x in pair])
-    ids = F.filter(F.transform(F.split(text, CUT, -1), lambda s: F.element_at(table, norm(s))), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(_lines(text), F.lit(_pattern(pieces)), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
     some = F.regexp_like(text, F.lit("(?i)" + "|".join(anchors(pieces))))
     return F.when(some, F.nullif(F.array_join(ids, ","), F.lit("")))
 
