@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-#: Bounds of the training sample: documents per language, and characters that each gives.
+#: Bounds of the training sample: documents per language, characters read of each, and bytes of a dictionary, to which the
+#: documents give equal shares; what short ones leave goes to the longer ones.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 20_000
 DICT_BYTES = 65_536
@@ -78,6 +79,15 @@ class LanguageModel:
         return lang, score
 
 
+def shared(texts: list[bytes], total: int) -> list[bytes]:
+    """The start of each text, total bytes with the spaces between them: equal shares, and what short texts leave goes to longer ones."""
+    left, share = total, {}
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share[i] = min(len(texts[i]), max(left // (len(texts) - k) - 1, 0))
+        left -= share[i] + 1
+    return [t[: share[i]] for i, t in enumerate(texts)]
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageModel:
     """Dictionaries from up to about SAMPLE_DOCS rows of each non-null language, picked by a hash of the id."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -91,7 +101,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     content = {}
     for lang in sorted(counts):
         texts = dict.fromkeys(" ".join(words_of(r["text"])) for r in sorted((r for r in sample if r["lang"] == lang), key=lambda r: (r["spot"], r["text"]))[:SAMPLE_DOCS])
-        flat = " ".join(texts).encode("utf-8", "replace")
+        flat = b" ".join(shared([t.encode("utf-8", "replace") for t in texts], FILLERS * FILLER_BYTES + DICT_BYTES))
         if not flat.strip():
             continue
         held = min(FILLERS * FILLER_BYTES, len(flat) // 4)
