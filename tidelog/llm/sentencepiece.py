@@ -11,9 +11,9 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,12 @@ UNIGRAM, BPE = 1, 2
 #: Texts, and about as many characters, that are encoded at once.
 SLICE, SLICE_CHARS = 256, 1_000_000
 THREADS = 2
-#: Words whose ids a worker remembers.
-WORDS = 300_000
+#: Bytes, by estimate, of the words and ids that a worker remembers.
+CACHE_BYTES = 64 << 20
+#: Words that are encoded as one text.
+RUN = 512
+#: A cut before each run of markers.
+AT_MARKERS = f"{MARK}*[^{MARK}]+|{MARK}+"
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -62,6 +66,10 @@ class Model:
     dummy_prefix: bool
     squeeze: bool
     escape: bool
+    suffix: bool = False
+
+    def user(self) -> list[str]:
+        return [p for p, _, t in self.pieces if t == USER]
 
 
 def parse(model: bytes) -> Model:
@@ -77,12 +85,8 @@ def parse(model: bytes) -> Model:
     kind = trainer.get(3, UNIGRAM)
     if kind not in (UNIGRAM, BPE):
         raise ValueError(f"model type {kind} is neither unigram nor BPE")
-    if trainer.get(24, 0):
-        raise ValueError("the marker is a suffix in this model")
-    if any(t == USER for _, _, t in pieces):
-        raise ValueError("user-defined pieces are not supported")
     unk = next(i for i, p in enumerate(pieces) if p[2] == UNKNOWN)
-    return Model(tuple(pieces), kind, unk, bool(trainer.get(35, 0)), normaliser.get(2, b""), bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), bool(normaliser.get(5, 1)))
+    return Model(tuple(pieces), kind, unk, bool(trainer.get(35, 0)), normaliser.get(2, b""), bool(normaliser.get(3, 1)), bool(normaliser.get(4, 1)), bool(normaliser.get(5, 1)), bool(trainer.get(24, 0)))
 
 
 def merges(model: Model) -> list[tuple[str, str]]:
@@ -96,10 +100,12 @@ def word_pattern(model: Model) -> re.Pattern | None:
     """The finest of three cuts that no BPE piece of the model straddles: at letters' ends and markers, at markers, or none."""
     pieces = [p for p, _, t in model.pieces if t == NORMAL]
     straddle = lambda pattern: any(re.search(pattern, p) for p in pieces)
-    if model.kind != BPE or straddle(f"[^{MARK}]{MARK}"):
+    if model.kind != BPE or straddle(f"{MARK}[^{MARK}]" if model.suffix else f"[^{MARK}]{MARK}"):
         return None
+    if model.suffix:
+        return re.compile(f"[^{MARK}]+{MARK}*|{MARK}+")
     if straddle(rf"[^\W\d_][\W\d_]|(?!{MARK})[\W\d_][^\W\d_]"):
-        return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        return re.compile(AT_MARKERS)
     return re.compile(rf"{MARK}*(?:[^\W\d_]+|(?:(?!{MARK})[\W\d_])+)|{MARK}+")
 
 
@@ -120,57 +126,144 @@ def build(model: Model, bare: bool = False):
     if model.squeeze:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
     if model.dummy_prefix:
-        steps.append(normalizers.Prepend(MARK))
+        steps.append(normalizers.Replace(Regex("(?<=[\\s\\S])\\z"), MARK) if model.suffix else normalizers.Prepend(MARK))
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     out.normalizer = normalizers.Sequence(steps)
     back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    out.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []))
+    out.decoder = decoders.Sequence(back + ([decoders.Strip(" ", int(not model.suffix), int(model.suffix))] if model.dummy_prefix else []))
     return out
 
 
 class Codec:
-    """Encodes and decodes batches.
+    """Encodes and decodes batches; ids are little-endian 32-bit numbers in bytes.
 
-    Texts are cut where no piece can straddle the cut. The library encodes each batch's unseen words on several threads, and the
-    ids of up to WORDS words are remembered.
+    Normalised texts are cut at user-defined pieces and where no piece can straddle the cut. The library encodes each batch's
+    unseen words on several threads, and words are remembered with their ids up to CACHE_BYTES.
     """
 
-    def __init__(self, model: bytes, threads: int = THREADS):
+    def __init__(self, model: bytes, threads: int = THREADS, verify: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        self.model = parse(model)
+        self.model, self.threads = parse(model), threads
         self.whole = build(self.model)
         self.words = word_pattern(self.model)
         self.core = build(self.model, bare=True)
         self.plain = not self.model.charsmap and not self.model.squeeze
-        self.seen: dict[str, list[int]] = {}
+        user = self.model.user()
+        self.user = re.compile("(" + "|".join(map(re.escape, sorted(user, key=lambda p: (-len(p), p)))) + ")") if user else None
+        self.seen: dict[str, bytes] = {}
+        self.held = 0
+        for i, (p, _, t) in enumerate(self.model.pieces):
+            if t == USER:
+                self.seen[p] = array("i", [i]).tobytes()
+        self.fixed = dict(self.seen)
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, _, t in self.model.pieces]
+        #: Remembered words whose ids the sentencepiece library gives otherwise, if they are verified.
+        self.odd: set[str] = set()
+        self.peer = None
+        if verify:
+            import sentencepiece
+
+            self.peer = sentencepiece.SentencePieceProcessor(model_proto=model)
+        # Words that start with a marker, and don't end with one, can follow each other in a text; bytes tell where each ends.
+        self.marked = self.words is not None and self.words.pattern == AT_MARKERS and self.plain and not self.user and self.model.dummy_prefix and self.model.escape and self.model.byte_fallback
+        self.sizes = np.array([1 if t == BYTE else len(p.encode()) for p, _, t in self.model.pieces], np.int64)
+        self.by_word = verify and self.marked
 
     def normalised(self, text: str) -> str:
         if not self.plain:
             return self.whole.normalizer.normalize_str(text)
-        text = MARK + text if text and self.model.dummy_prefix else text
+        if text and self.model.dummy_prefix:
+            text = text + MARK if self.model.suffix else MARK + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.words is None:
-            return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [self.words.findall(self.normalised(t)) for t in texts]
-        if len(self.seen) > WORDS:
-            self.seen.clear()
-        fresh = [w for w in set().union(*cut) if w not in self.seen]
-        self.seen.update(zip(fresh, (e.ids for e in self.core.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.seen.__getitem__, words))) for words in cut]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def clean(self, text: str) -> str:
+        """What decoding must give back."""
+        out = self.normalised(text).replace(MARK, " ")
+        if self.model.dummy_prefix:
+            return out.removesuffix(" ") if self.model.suffix else out.removeprefix(" ")
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        if self.user is None:
+            return self.words.findall(text) if self.words else [text]
+        parts = self.user.split(text)
+        out = []
+        for i, part in enumerate(parts):
+            out += [part] if i % 2 else self.words.findall(part) if self.words else [part] * bool(part)
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.joined(self.parts(texts))
+
+    def parts(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text; the ids of all are remembered afterwards."""
+        cut = [self.cut(self.normalised(t)) for t in texts]
+        if self.held > CACHE_BYTES:
+            self.seen, self.held = dict(self.fixed), 0
+            self.odd.clear()
+        self.learn([w for w in set().union(*cut) if w not in self.seen])
+        return cut
+
+    def learn(self, words: list[str]) -> None:
+        """Words that go together are encoded as one text, whose pieces are dealt out to them by length."""
+        alone = words
+        if self.marked:
+            alone = [w for w in words if w[-1] == MARK]
+            rest = [w for w in words if w[-1] != MARK]
+            runs = [rest[at : at + RUN] for at in range(0, len(rest), RUN)]
+            texts = ["".join(run) for run in runs]
+            ids = [np.array(e.ids, "<i4") for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
+            theirs = self.peer.encode([t[1:].replace(MARK, " ") for t in texts], num_threads=self.threads) if self.by_word else [None] * len(texts)
+            if runs:
+                flat = np.concatenate(ids)
+                ends = np.cumsum([len(w.encode()) for w in rest])
+                cuts = (4 * np.searchsorted(np.cumsum(self.sizes[flat]), ends) + 4).tolist()
+                data = flat.tobytes()
+                self._keep(rest, [data[a:z] for a, z in zip([0, *cuts], cuts, strict=False)])
+            for run, x, y in zip(runs, ids, theirs, strict=True):
+                if y is not None and x.tobytes() != array("i", y).tobytes():
+                    alone += run  # one by one, to see which
+        for at in range(0, len(alone), 8192):
+            some = alone[at : at + 8192]
+            ids = [np.array(e.ids, "<i4").tobytes() for e in self.core.encode_batch_fast(some, add_special_tokens=False)]
+            self._keep(some, ids)
+            if self.by_word:
+                bare = [w[1:].replace(MARK, " ") for w in some]
+                theirs = [np.array(y, "<i4").tobytes() for y in self.peer.encode(bare, num_threads=self.threads)]
+                # of a marker alone nothing is left to encode
+                self.odd.update(w for w, t, x, y in zip(some, bare, ids, theirs, strict=True) if x != (y if t else np.array([self.peer.piece_to_id(MARK)], "<i4").tobytes()))
+
+    def _keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.seen.update(zip(words, ids, strict=True))
+        self.held += 240 * len(words) + 2 * sum(map(len, words)) + sum(map(len, ids))
+
+    def joined(self, parts: list[list[str]]) -> list[bytes]:
+        get = self.seen.__getitem__
+        return [b"".join(map(get, words)) for words in parts]
+
+    def same(self, texts: list[str], parts: list[list[str]], ids: list[bytes]) -> list[bool]:
+        """Whether the sentencepiece library gives the same ids.
+
+        Where every word starts with the marker, and no piece straddles two words, the library's ids of a text are those of its
+        words one after another; so each distinct word is held against the library. Other models: each whole text.
+        """
+        if self.by_word:
+            return [not self.odd or self.odd.isdisjoint(words) for words in parts]
+        return [array("i", x).tobytes() == y for x, y in zip(self.peer.encode(texts, num_threads=self.threads), ids, strict=True)]
+
+    def decode(self, ids: list[bytes]) -> list[str]:
         out = []
         for x in ids:
+            numbers = np.frombuffer(x, "<i4").tolist()
             try:
-                text = b"".join(map(self.bytes.__getitem__, x)).decode()
-                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+                text = b"".join(map(self.bytes.__getitem__, numbers)).decode()
+                if self.model.dummy_prefix:
+                    text = text.removesuffix(" ") if self.model.suffix else text.removeprefix(" ")
+                out.append(text)
             except (UnicodeDecodeError, IndexError):  # bytes that aren't text, or ids out of range
-                out.append(self.whole.decode(x, skip_special_tokens=False))
+                out.append(self.whole.decode(numbers, skip_special_tokens=False))
         return out
 
 
@@ -188,31 +281,35 @@ def _sliced(texts: pa.Array) -> Iterator[list[str]]:
             yield batch
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def encoded(text: Column, model: bytes, threads: int = THREADS) -> Column:
-    """array<int> of the ids. Null and empty texts give an empty array."""
+    """array<int> of the ids. Null and empty texts give an empty array. Ids leave the worker slice by slice."""
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(model, threads)
         for texts in batches:
-            ids = [np.array(x, np.int32) for batch in _sliced(texts) for x in codec.encode(batch)]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            if not len(texts):
+                yield _lists([])
+            for batch in _sliced(texts):
+                yield _lists(codec.encode(batch))
 
     return run.asNondeterministic()(text)
 
 
 def decoded(ids: Column, model: bytes, threads: int = THREADS) -> Column:
-    """Text of an array of ids; null gives empty text."""
+    """Text of an array of ids; null gives empty text. Repeated rows are each decoded; an empty table gives an empty result."""
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(model, threads)
         for b in batches:
-            texts: list[str] = []
-            for at in range(0, len(b), SLICE):
-                texts += codec.decode([x or [] for x in b.slice(at, SLICE).to_pylist()])
-            yield pa.array(texts, pa.string())
+            for at in range(0, max(len(b), 1), SLICE):
+                yield pa.array(codec.decode([array("i", x or []).tobytes() for x in b.slice(at, SLICE).to_pylist()]), pa.string())
 
     return run.asNondeterministic()(ids)
 
@@ -221,26 +318,29 @@ def verified(text: Column, model: bytes, threads: int = THREADS) -> Column:
     """struct<n_tokens, ids_sha256, round_trip, parity> of each text, encoded and decoded whole.
 
     ids_sha256 is of the ids as little-endian 32-bit numbers; round_trip: the ids decode to the normalised text; parity: the
-    sentencepiece library gives the same ids.
+    sentencepiece library gives the same ids (see Codec.same). Null counts as empty: no tokens. Repeated rows each have a value;
+    an empty table gives an empty result.
     """
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, round_trip boolean, parity boolean")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import sentencepiece
-
-        codec = Codec(model, threads)
-        peer = sentencepiece.SentencePieceProcessor(model_proto=model)
+        codec = Codec(model, threads, verify=True)
+        names = ["n_tokens", "ids_sha256", "round_trip", "parity"]
+        kinds = (pa.int64(), pa.string(), pa.bool_(), pa.bool_())
         for texts in batches:
-            n, sha, back, same = [], [], [], []
+            if not len(texts):
+                yield pa.StructArray.from_arrays([pa.array([], k) for k in kinds], names)
             for batch in _sliced(texts):
-                ids = codec.encode(batch)
-                n += map(len, ids)
-                sha += [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids]
-                want = [codec.normalised(t).removeprefix(MARK if codec.model.dummy_prefix else "").replace(MARK, " ") for t in batch]
-                back += [a == b for a, b in zip(codec.decode(ids), want, strict=True)]
-                same += [a == b for a, b in zip(ids, peer.encode(batch, num_threads=threads), strict=True)]
-            kinds = (pa.int64(), pa.string(), pa.bool_(), pa.bool_())
-            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((n, sha, back, same), kinds, strict=True)], ["n_tokens", "ids_sha256", "round_trip", "parity"])
+                parts = codec.parts(batch)
+                ids = codec.joined(parts)
+                want = map(codec.clean, batch)
+                cols = (
+                    [len(x) // 4 for x in ids],
+                    [hashlib.sha256(x).hexdigest() for x in ids],
+                    [a == b for a, b in zip(codec.decode(ids), want, strict=True)],
+                    codec.same(batch, parts, ids),
+                )
+                yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
 
     return run.asNondeterministic()(text)
 
