@@ -1,5 +1,6 @@
 """The engine against a dictionary that does what PUT, DELETE and GET mean, over random traces; and hand-made cases."""
 
+import hashlib
 import random
 from collections import OrderedDict
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidelog.config import SHIPPED, EngineConfig
 from tidelog.functions import entry, hashing
-from tidelog.operators import catalog, compaction, fingerprint, merkle, numbering, point, policy, scan, sketches
+from tidelog.operators import catalog, compaction, fingerprint, merkle, numbering, point, policy, scan, sketch_values, sketches
+from tidelog.operators.store import Store, TokenBucket
 from tidelog.sources import wal
 from tidelog.sources.views import runs_of
 from tidelog.streaming import live
@@ -118,7 +120,7 @@ def test_fingerprints(spark):
     texts = spark.createDataFrame([(1, "hello!, world"), (2, "HELLO world,"), (3, "straße\nx  y")], "id long, text string")
     tokens = {(r.id, r.token): r.weight for r in fingerprint.tokens(texts).collect()}
     assert tokens == {(1, "HELLO"): 1, (1, "WORLD"): 1, (2, "HELLO"): 1, (2, "WORLD"): 1, (3, "STRAßE\nX"): 1, (3, ""): 1, (3, "Y"): 1}
-    fp = {r.id: r.fingerprint for r in fingerprint.fingerprints(fingerprint.tokens(texts)).collect()}
+    fp = {r.id: r.fingerprint for r in fingerprint.fingerprints(texts).collect()}
     assert fp[1] == fp[2] != fp[3] and all(len(x) == 256 for x in fp.values())
 
 
@@ -127,6 +129,11 @@ def test_merkle(spark):
     compat = {r.tree: r.root for r in merkle.roots_compat(leaves).collect()}
     assert compat == {0: "0" * 40, 1: "da23614e02469a0d7c7bd1bdab5c9c474b1904dc", 2: merkle.EMPTY}
     assert len({r.root for r in merkle.roots(leaves, 3).collect()}) == 3
+    many = spark.range(600).select(F.lit(0).alias("tree"), F.col("id").alias("pos"), F.col("id").cast("string").alias("data"))
+    row = [hashlib.sha1(str(i).encode()).digest() for i in range(600)]
+    while len(row) > 1:
+        row = [hashlib.sha1(row[i] + (row[i + 1] if i + 1 < len(row) else hashlib.sha1().digest())).digest() for i in range(0, len(row), 2)]
+    assert [r.root for r in merkle.roots(many, 3).collect()] == [row[0].hex()]
 
 
 def test_policies(spark):
@@ -139,8 +146,8 @@ def test_policies(spark):
         cache.move_to_end(k)
         if len(cache) > 5:
             cache.popitem(last=False)
-    for chunk in (50, 100_000):
-        got = policy.lru_hits(spark.createDataFrame(rows, "seq long, key string"), 5, chunk).orderBy("seq").collect()
+    for chunk, fan in ((50, 1000), (20, 3), (100_000, 1000)):
+        got = policy.lru_hits(spark.createDataFrame(rows, "seq long, key string"), 5, chunk, fan).orderBy("seq").collect()
         assert [r.hit for r in got] == hits
     at = [0, 0, 0, 10_000, 50_000, 150_000, 1_000_000]
     calls = spark.createDataFrame([(7, a, i) for i, a in enumerate(at)], "principal long, at long, id long")
@@ -181,3 +188,106 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, policy.token_bucket(calls, 3, 10).collect()))
     assert sorted(map(tuple, spark.table("admitted").collect())) == want
+
+
+def compacted(store, max_level, multiplier=None, size=None):
+    """store: {level: [run, ...]}, a run {key: (ts, value, tombstone)}; lower levels and later runs are newer."""
+
+    def merged(runs):
+        out = {}
+        for run in runs:  # from old to new
+            for k, v in run.items():
+                if k not in out or v[0] >= out[k][0]:
+                    out[k] = v
+        return out
+
+    store = {lv: list(store.get(lv, [])) for lv in range(1, max_level + 1)}
+    for lv in range(1, max_level):
+        own, above = store[lv], store[lv + 1]
+        if multiplier is None:
+            if len(own) >= 2:
+                store[lv + 1] = above + [merged(own[i : i + 2]) for i in range(0, len(own) - 1, 2)]
+                store[lv] = own[len(own) // 2 * 2 :]
+            continue
+        take = len(own) - (0 if lv == 1 else multiplier ** (lv - 1))
+        if take > 0:
+            low, high = min(min(r) for r in own[:take]), max(max(r) for r in own[:take])
+            hit = [r for r in above if not (max(r) < low or min(r) > high)]
+            rows = sorted(merged(hit + own[:take]).items())
+            new = [dict(rows[i : i + size]) for i in range(0, len(rows), size)]
+            store[lv + 1] = sorted([r for r in above if r not in hit] + new, key=min)
+            store[lv] = own[take:]
+    return store
+
+
+def as_store(rows, level="level", idx="idx"):
+    out = {}
+    for r in rows:
+        out.setdefault(r[level], {}).setdefault(r[idx], {})[r["key"]] = (r["ts"], r["value"], r["tombstone"])
+    return {lv: [runs[i] for i in range(1, len(runs) + 1)] for lv, runs in out.items()}
+
+
+@pytest.mark.parametrize("leveled", [False, True])
+def test_stores_of_several_levels(spark, leveled):
+    """Two compactions with new runs between them, against lists and dictionaries."""
+    rows = trace(260, 4, keys=60)
+    runs = runs_of(spark.createDataFrame(rows, SCHEMA), 20).drop("seq")
+    columns = ["level", "idx", "key", "value", "tombstone", "ts"]
+    first, later = runs.filter("idx <= 7").select(*columns), runs.filter("idx > 7").withColumn("idx", F.col("idx") - 7).select(*columns)
+    want = as_store(first.collect())
+    for new in (None, later):
+        if new is not None:
+            old = as_store(new.collect())
+            want = {**want, 1: want.get(1, []) + old[1]}
+            kept = len(want[1]) - len(old[1])
+            first = now.union(new.withColumn("idx", F.col("idx") + kept))  # noqa: F821
+        if leveled:
+            now, want = compaction.compact_leveled(first, 4, 2, 5), compacted(want, 4, 2, 5)
+        else:
+            moved = compaction.compact_full(first, 4)
+            now = moved.select(F.col("new_level").alias("level"), F.col("new_idx").alias("idx"), "key", "value", "tombstone", "ts")
+            want = compacted(want, 4)
+        now = numbering.checkpointed(now)
+        assert as_store(now.collect()) == {lv: r for lv, r in want.items() if r}
+    policy_ = "leveled" if leveled else "size_tiered"
+    live_ = {r.key: r.value for r in point.find(now, policy_).filter("not tombstone").collect()}
+    assert live_ == model(rows)
+
+
+def test_get_asks_memtable_cache_and_runs_in_order(spark):
+    runs = spark.createDataFrame([(1, 1, "a", "old", False, 1), (1, 2, "a", "run", False, 2), (1, 2, "b", "b", False, 2), (1, 1, "c", "c", False, 1), (1, 2, "c", "", True, 9)], "level int, idx long, key string, value string, tombstone boolean, ts long")
+    now = [0.0]
+    store = Store(spark.createDataFrame([], SCHEMA), runs, TokenBucket(100, 1, lambda: now[0]), 2)
+    assert store.get("a") == (True, ("run", 2)) and store.get("c") == (False, None) and store.get("none") == (False, None)
+    store.runs = runs.filter("key <> 'a'")
+    assert store.get("a") == (True, ("run", 2))  # from the cache
+    assert store.put("a", "mem", 3) and store.get("a") == (True, ("mem", 3))
+    assert store.delete("a", 4) and "a" not in store.cache and store.get("a") == (False, None)
+    with pytest.raises(ValueError):
+        store.put("SimHashX", "v", 5)
+    store.gate = TokenBucket(1, 2, lambda: now[0])
+    assert store.put("x", "1", 6) and not store.put("x", "2", 7) and not store.delete("x", 8) and store.get("x") == (False, None)
+    now[0] = 0.6
+    assert store.get("x") == (True, ("1", 6))
+
+
+def test_sketch_values(spark):
+    log = spark.createDataFrame([], SCHEMA)
+    print_ = fingerprint.fingerprints(spark.createDataFrame([(1, "some text")], "id long, text string")).select("fingerprint")
+    log = sketch_values.put(log, "SimHash", "S", sketch_values.simhash_value(print_), 1)
+    assert sketch_values.get(log, "SimHash", "S").first().fingerprint == print_.first().fingerprint
+    none = spark.createDataFrame([], "item string")
+    log = sketch_values.put(log, "BloomFilter", "E", sketch_values.bloom_value(sketches.bloom_build(none, 10, 2, 0), 10, 2, 0), 2)
+    probes = spark.createDataFrame([("x",), ("y",)], "item string")
+    assert [r.maybe for r in sketch_values.bloom_asks(log, "E", probes).collect()] == [False, False]
+    assert sketch_values.bloom_asks(log, "nobody", probes) is None and sketch_values.hll_asks(log, "H") is None
+    gone = point.delete(log, "BloomFilterE", 3)
+    assert sketch_values.bloom_asks(gone, "E", probes) is None
+    with pytest.raises(ValueError):
+        sketch_values.put(log, "Other", "x", sketch_values.simhash_value(print_), 1)
+
+
+def test_config_file(tmp_path):
+    path = tmp_path / "settings.yml"
+    path.write_text('memtable_size: 40\nmemtable_structure: "skiplist"  # comment\ntoken_cap: many\nlsm_max_level: 7\nother: 1\ntoken_rate:\nbloom_falsepositive_rate: 0.5\n\n')
+    assert EngineConfig.load(str(path)) == EngineConfig.of(memtable_size=40, memtable_structure="skiplist", lsm_max_level=7, bloom_falsepositive_rate=0.5)

@@ -45,6 +45,22 @@ class EngineConfig:
                 v[name] = known[name]
         return cls(**v)
 
+    @classmethod
+    def load(cls, path: str) -> EngineConfig:
+        """Settings from a file of `name: value` lines. Unknown names, and values of another type, count as not given."""
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        values = {}
+        with open(path, encoding="utf-8") as file:
+            for line in file:
+                name, _, value = line.partition("#")[0].partition(":")
+                name, value = name.strip(), value.strip().strip("\"'")
+                if name in kinds and value:
+                    try:
+                        values[name] = kinds[name](value)
+                    except ValueError:
+                        continue
+        return cls.of(**values)
+
 
 #: The shipped settings.
 SHIPPED = EngineConfig.of(memtable_size=40, memtable_structure="skiplist", lsm_max_level=7, token_cap=20, token_rate=10, leveled_compaction_multiplier=3, lru_cap=5)

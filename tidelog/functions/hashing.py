@@ -31,7 +31,8 @@ def buckets(item: Column, k: int, m: int, seed0: int, mod: str = "float") -> Col
     return F.array(*[F.struct(F.lit(i).alias("i"), bucket(item, seed0 + i, m, mod).alias("bucket")) for i in range(k)])
 
 
-def bucket_sql(item: str, seed: int, m: int, mod: str = "float") -> str:
+def bucket_sql(item: str, seed: int, m: int | str, mod: str = "float") -> str:
+    """m: a number, or an expression of one."""
     h = f"('0x' || substr(md5(encode({item}) || unhex('{seed_hex(seed)}')), 1, 16))::UBIGINT"
     return f"({h}::DOUBLE % {m}::DOUBLE)::BIGINT" if mod == "float" else f"({h} % {m})::BIGINT"
 

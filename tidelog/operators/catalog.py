@@ -23,5 +23,10 @@ def entries(log: DataFrame) -> DataFrame:
 
 
 def validate(keys: DataFrame) -> DataFrame:
-    """(key, reserved, numeric): numeric in the strict sense, digits only."""
-    return keys.select("key", (kind_of(F.col("key")) != "value").alias("reserved"), F.regexp_like("key", F.lit("^[0-9]+$")).alias("numeric"))
+    """(key, reserved, numeric, numeric_compat): numeric in the strict sense, digits only; the observable variant takes any with a digit."""
+    return keys.select(
+        "key",
+        (kind_of(F.col("key")) != "value").alias("reserved"),
+        F.regexp_like("key", F.lit("^[0-9]+$")).alias("numeric"),
+        F.regexp_like("key", F.lit("[0-9]")).alias("numeric_compat"),
+    )

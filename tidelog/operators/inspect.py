@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.entry import size
 from ..functions.hashing import buckets
 from .sketches import bloom_params
-from .sketches import bloom_params
-from ..functions.hashing import buckets
 
 
 def index(runs: DataFrame) -> DataFrame:

@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 EMPTY = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
 
 
-def level_up(nodes: DataFrame) -> DataFrame:
-    """(tree, pos, hash) to the parents. A missing right child counts as the hash of nothing."""
-    right = F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("hash"))), F.unhex(F.lit(EMPTY)))
-    left = F.max(F.when(F.col("pos") % 2 == 0, F.col("hash")))
-    return nodes.groupBy("tree", F.floor(F.col("pos") / 2).alias("pos")).agg(F.unhex(F.sha1(F.concat(left, right))).alias("hash"))
+#: Levels that one shuffle takes.
+AT_ONCE = 8
 
 
-def roots(leaves: DataFrame, most: int) -> DataFrame:
-    """leaves: (tree, pos, data). (tree, root): leaves are hashed, then pairs. most: leaves of the largest tree at most.
+def level_up(nodes: DataFrame, levels: int = 1) -> DataFrame:
+    """(tree, pos, hash) to the ancestors `levels` up. A missing right child counts as the hash of nothing.
 
-    Trees of different sizes go on until all have one node, so small ones are hashed up to the same height.
+    The 2^levels nodes under an ancestor meet in one row, and are hashed there pair by pair.
     """
+    nothing = F.unhex(F.lit(EMPTY))
+
+    def pairs(row, _):
+        parent = lambda i: F.unhex(F.sha1(F.concat(F.get(row, 2 * i), F.coalesce(F.get(row, 2 * i + 1), nothing))))
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(row) / 2).cast("int") - 1), parent)
+
+    row = F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"])
+    up = nodes.groupBy("tree", F.floor(F.col("pos") / (1 << levels)).alias("pos")).agg(row.alias("row"))
+    return up.select("tree", "pos", F.get(F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.col("row"), pairs), F.lit(0)).alias("hash"))
+
+
+def roots(leaves: DataFrame, most: int = 1) -> DataFrame:
+    """leaves: (tree, pos, data), pos from 0 without gaps. (tree, root): leaves are hashed, then pairs.
+
+    All trees are hashed up to the height of the largest, and to that of a tree of `most` leaves at least.
+    """
+    last = leaves.agg(F.max("pos").alias("n")).first()["n"] or 0  # one number
+    height = max(int(last).bit_length(), (most - 1).bit_length())
     nodes = leaves.select("tree", "pos", F.unhex(F.sha1(F.col("data").cast("binary"))).alias("hash"))
-    size = most
-    while size > 1:
-        nodes, size = level_up(nodes), -(-size // 2)
+    while height:
+        step = min(AT_ONCE, height)
+        nodes, height = level_up(nodes, step), height - step
     return nodes.select("tree", F.lower(F.hex("hash")).alias("root"))
 
 
@@ -37,8 +52,9 @@ def roots_compat(leaves: DataFrame) -> DataFrame:
     )
 
 
-def diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Extension. a, b: (pos, data). Positions whose leaves differ, with both hashes; a missing leaf has none."""
-    left = a.select("pos", F.sha1(F.col("data").cast("binary")).alias("hash_a"))
-    right = b.select("pos", F.sha1(F.col("data").cast("binary")).alias("hash_b"))
-    return left.join(right, "pos", "full_outer").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+def diff(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Extension. a, b: (*keys, pos, data). Positions whose leaves differ, with both hashes; a missing leaf has none."""
+    on = [*(keys or []), "pos"]
+    left = a.select(*on, F.sha1(F.col("data").cast("binary")).alias("hash_a"))
+    right = b.select(*on, F.sha1(F.col("data").cast("binary")).alias("hash_b"))
+    return left.join(right, on, "full_outer").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))

@@ -38,10 +38,18 @@ def bounds(pages: DataFrame) -> DataFrame:
     return pages.withColumn("first_row", F.when(F.col("number") < 1, 1).otherwise((F.col("number") - 1) * F.col("size") + 1)).withColumn("last_row", F.greatest(F.lit(0), F.col("number") * F.col("size")))
 
 
+#: Ranges into which keys are cut when runs are held against each other.
+RANGES = 256
+
+
 def overlaps(runs: DataFrame) -> DataFrame:
-    """Pairs of runs whose key ranges meet. Only run bounds are joined: one row for each run."""
+    """Pairs of runs whose key ranges meet. Only run bounds are joined: one row for each run and each of RANGES key ranges that it spans."""
     ends = runs.groupBy("level", "idx").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    a = ends.select(*[F.col(c).alias(f"{c}_a") for c in ends.columns])
-    b = ends.select(*[F.col(c).alias(f"{c}_b") for c in ends.columns])
+    starts = ends.select("first_key").distinct().orderBy(F.xxhash64("first_key")).limit(RANGES - 1).collect()  # any cuts will do
+    cuts = F.array(*[F.lit(k) for k in sorted(r["first_key"] for r in starts)]).cast("array<string>")
+    place = lambda key: F.size(F.filter(cuts, lambda c: c <= F.col(key)))
+    cut = ends.withColumn("from_", place("first_key")).withColumn("range_", F.explode(F.sequence("from_", place("last_key"))))
+    a, b = (cut.select(*[F.col(c).alias(c if c == "range_" else f"{c}_{x}") for c in cut.columns]) for x in "ab")
     apart = (F.col("last_key_a") < F.col("first_key_b")) | (F.col("first_key_a") > F.col("last_key_b"))
-    return a.join(b, (F.col("idx_a") < F.col("idx_b")) & ~apart).select("idx_a", "idx_b")
+    once = F.col("range_") == F.greatest("from__a", "from__b")  # the first range that both span
+    return a.join(b, "range_").filter(once & (F.col("idx_a") < F.col("idx_b")) & ~apart).select("idx_a", "idx_b")

@@ -17,16 +17,22 @@ def bloom_params(n: int, p: float) -> tuple[int, int]:
     return m, math.ceil(m / n * math.log(2))
 
 
-def bloom_build(items: DataFrame, m: int, k: int, seed0: int, mod: str = "float") -> DataFrame:
-    """(bucket): the set bits, at most m rows. Items are deduplicated by the aggregate that combines before the shuffle."""
-    return items.select(F.explode(buckets(F.col("item"), k, m, seed0, mod)).alias("b")).select("b.bucket").distinct()
+def bloom_build(items: DataFrame, m: int, k: int, seed0: int, mod: str = "float", groups: list[str] | None = None) -> DataFrame:
+    """(*groups, bucket): the set bits, at most m rows a group. Bits are deduplicated by the aggregate that combines before the shuffle."""
+    groups = groups or []
+    return items.select(*groups, F.explode(buckets(F.col("item"), k, m, seed0, mod)).alias("b")).select(*groups, "b.bucket").distinct()
+
+
+def bloom_merge(bits: DataFrame) -> DataFrame:
+    """Extension: the union of several filters of the same parameters."""
+    return bits.select("bucket").distinct()
 
 
 def bloom_probe(probes: DataFrame, bits: DataFrame, m: int, k: int, seed0: int, mod: str = "float") -> DataFrame:
-    """(item, maybe) for distinct items. The filter is one array of m bits at most, known from its parameters, so it's sent along."""
-    state = bits.agg(F.collect_set("bucket").alias("set_"))
-    rows = probes.select("item").distinct().join(F.broadcast(state))
-    return rows.select("item", F.forall(buckets(F.col("item"), k, m, seed0, mod), lambda b: F.array_contains("set_", b["bucket"])).alias("maybe"))
+    """(item, maybe) for distinct items. Items meet the set bits by an ordinary join, whose size decides whether the bits are broadcast."""
+    rows = probes.select("item").distinct().select("item", F.explode(F.transform(buckets(F.col("item"), k, m, seed0, mod), lambda b: b["bucket"])).alias("bucket"))
+    hit = rows.join(bits.select("bucket", F.lit(1).alias("set_")), "bucket", "left")
+    return hit.groupBy("item").agg((F.count("set_") == F.count(F.lit(1))).alias("maybe"))
 
 
 def cms_params(epsilon: float, delta: float) -> tuple[int, int]:
@@ -35,10 +41,17 @@ def cms_params(epsilon: float, delta: float) -> tuple[int, int]:
     return math.ceil(math.e / epsilon), math.ceil(math.log(math.e / delta))
 
 
-def cms_build(items: DataFrame, m: int, k: int, seed0: int, mod: str = "float") -> DataFrame:
-    """(row, col, cnt): at most m * k rows. Equal items are counted first, so each is hashed once."""
-    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("n", F.explode(buckets(F.col("item"), k, m, seed0, mod)).alias("b")).groupBy(F.col("b.i").alias("row"), F.col("b.bucket").alias("col")).agg(F.sum("n").alias("cnt"))
+def cms_build(items: DataFrame, m: int, k: int, seed0: int, mod: str = "float", groups: list[str] | None = None) -> DataFrame:
+    """(*groups, row, col, cnt): at most m * k rows a group. Equal items are counted first, so each is hashed once."""
+    groups = groups or []
+    counts = items.groupBy(*groups, "item").agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.select(*groups, "n", F.explode(buckets(F.col("item"), k, m, seed0, mod)).alias("b"))
+    return cells.groupBy(*groups, F.col("b.i").alias("row"), F.col("b.bucket").alias("col")).agg(F.sum("n").alias("cnt"))
+
+
+def cms_merge(cells: DataFrame) -> DataFrame:
+    """Extension: the sum of several sketches of the same parameters."""
+    return cells.groupBy("row", "col").agg(F.sum("cnt").alias("cnt"))
 
 
 def cms_estimate(probes: DataFrame, sketch: DataFrame, m: int, k: int, seed0: int, mod: str = "float") -> DataFrame:
@@ -57,7 +70,7 @@ def hll_registers(items: DataFrame, p: int, groups: list[str] | None = None) ->
     """(*groups, bucket, rank): the greatest rank of each bucket that has any."""
     hll_check(p)
     groups = groups or []
-    h = items.select(*groups, fnv1a32(F.col("item")).alias("h"))
+    h = items.select(*groups, "item").distinct().select(*groups, fnv1a32(F.col("item")).alias("h"))  # each item is hashed once
     low = F.col("h").bitwiseAND(F.lit((1 << 32 - p) - 1))
     rank = F.when(low == 0, 33 - p).otherwise(1 + F.bit_count(low.bitwiseAND(-low) - 1))
     return h.select(*groups, F.shiftright("h", 32 - p).alias("bucket"), rank.cast("int").alias("rank")).groupBy(*groups, "bucket").agg(F.max("rank").alias("rank"))

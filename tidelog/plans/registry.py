@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import SHIPPED
 from ..functions import entry, hashing
-from ..operators import catalog, compaction, fingerprint, inspect, merkle, point, policy, scan, sketches
+from ..operators import catalog, compaction, fingerprint, inspect, merkle, point, policy, scan, sketch_values, sketches, store
 from ..operators.numbering import checkpointed
 from ..sources import generate, wal
 from ..sources.views import CHUNK, KV, KV_COARSE, WIDE, kv_log, kv_log_coarse, kv_log_wide, kv_runs, newest, runs_of, runs_sql, table
@@ -93,7 +93,11 @@ def entry_roundtrip(spark, sf_dir):
     return data.select("seq", entry.decode(F.col("data")).alias("e")).select("seq", "e.key", "e.value", "e.tombstone", "e.ts", "e.intact")
 
 
-@query()
+_BYTES = f"list_transform(range(0, strlen(body) // 2), lambda i: ('0x' || substr(body, 2 * i + 1, 2))::BIGINT)"
+_EIGHT = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+
+
+@query(f"WITH {KV}, e AS (SELECT seq, {_BODY} AS body FROM kv) SELECT seq, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, b: {_EIGHT}), 4294967295)::BIGINT AS crc FROM e")
 def entry_crc(spark, sf_dir):
     return kv_log(spark, sf_dir).select("seq", F.crc32(entry.body(F.col("key"), F.col("value"), F.col("tombstone"), F.col("ts"))).alias("crc"))
 
@@ -188,6 +192,16 @@ def sstable_find_trace(spark, sf_dir):
     return inspect.find_trace(kv_runs(spark, sf_dir), HOT_KEY, 0.01, 1000, CHUNK)
 
 
+@query(f"WITH {RUNS}, last AS (SELECT max(idx) AS n FROM runs), src AS (SELECT CASE WHEN idx = n THEN 0 ELSE 1 END AS s, runs.* FROM runs, last), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, idx DESC) AS vn FROM src) SELECT key, s = 0 AS in_memory, value, ts FROM f WHERE vn = 1 AND NOT tombstone")
+def kv_get_by_source(spark, sf_dir):
+    """Every key as GET finds it: the newest chunk is the memtable, then runs from new to old; the first that has the key decides."""
+    runs = kv_runs(spark, sf_dir)
+    last = runs.agg(F.max("idx").alias("n")).first()["n"]
+    sources = store.sources_of(runs.filter(F.col("idx") == F.lit(last)), runs.filter(F.col("idx") < F.lit(last)))
+    found = store.lookup(sources, runs.select("key")).filter(~F.col("tombstone"))
+    return found.select("key", (F.col("source.a") == 0).alias("in_memory"), "value", "ts")
+
+
 @query(f"WITH {KV}, {LIVE} SELECT * FROM live")
 def kv_snapshot(spark, sf_dir):
     return point.snapshot(kv_log(spark, sf_dir))
@@ -200,21 +214,26 @@ def kv_as_of(spark, sf_dir):
 
 # Scans
 
-PAGE, SIZE = 2, 10
+PAGE, SIZE = 2, 5
 _PAGED = "SELECT key, level, idx, value, ts, pos FROM (SELECT *, row_number() OVER (ORDER BY level, idx DESC, key) AS pos FROM vis {where}) WHERE pos > {a} AND pos <= {b}"
 
 
-@query(f"WITH {RUNS}, {VISIBLE} " + _PAGED.format(where="WHERE key BETWEEN 'u000010' AND 'u000090'", a=(PAGE - 1) * SIZE, b=PAGE * SIZE))
+@query(f"WITH {RUNS}, {VISIBLE} " + _PAGED.format(where="WHERE key BETWEEN 'u000002' AND 'u000090'", a=(PAGE - 1) * SIZE, b=PAGE * SIZE))
 def range_scan_page(spark, sf_dir):
-    return scan.range_scan(kv_runs(spark, sf_dir), "u000010", "u000090", PAGE, SIZE)
+    return scan.range_scan(kv_runs(spark, sf_dir), "u000002", "u000090", PAGE, SIZE)
+
+
+WIDE_CHUNK = 40
+WIDE_RUNS = f"{WIDE}, {runs_sql(WIDE_CHUNK)}"
 
 
-WIDE_RUNS = f"{WIDE}, {runs_sql()}"
+def _wide_runs(spark, sf_dir):
+    return runs_of(kv_log_wide(spark, sf_dir), WIDE_CHUNK)
 
 
-@query(f"WITH {WIDE_RUNS}, {VISIBLE} " + _PAGED.format(where="WHERE starts_with(key, 'a')", a=(PAGE - 1) * SIZE, b=PAGE * SIZE))
+@query(f"WITH {WIDE_RUNS}, {VISIBLE} " + _PAGED.format(where="WHERE starts_with(key, 'small')", a=(PAGE - 1) * SIZE, b=PAGE * SIZE))
 def prefix_scan_page(spark, sf_dir):
-    return scan.prefix_scan(runs_of(kv_log_wide(spark, sf_dir)), "a", PAGE, SIZE)
+    return scan.prefix_scan(_wide_runs(spark, sf_dir), "small", PAGE, SIZE)
 
 
 @query(f"WITH {RUNS}, {VISIBLE} SELECT key, level, idx, value, ts FROM vis")
@@ -251,7 +270,7 @@ def memtable_sorted(spark, sf_dir):
 
 @query(f"WITH {WIDE_RUNS}, e AS (SELECT idx, min(key) AS f, max(key) AS l FROM runs GROUP BY 1) SELECT a.idx AS idx_a, b.idx AS idx_b FROM e a JOIN e b ON a.idx < b.idx AND NOT (a.l < b.f OR a.f > b.l)")
 def run_overlaps(spark, sf_dir):
-    return scan.overlaps(runs_of(kv_log_wide(spark, sf_dir)))
+    return scan.overlaps(_wide_runs(spark, sf_dir))
 
 
 # Flush and compaction
@@ -273,16 +292,18 @@ def flush_segments_chunked(spark, sf_dir):
     return compaction.flush_chunked(kv_log(spark, sf_dir), SHIPPED.memtable_size)
 
 
-def _cascade_sql(max_level: int) -> str:
-    """Levels and numbers after the cascade, one step for each level."""
-    out = "c1 AS (SELECT *, 1 AS new_level, idx AS new_idx, (SELECT max(idx) FROM runs) AS n FROM runs)"
+def _cascade_sql(max_level: int, runs: str = "runs") -> str:
+    """Levels and numbers after the cascade, one step for each level; a level's runs come before those that move up to it."""
+    there = lambda lv: f"(SELECT coalesce(max(idx), 0) FROM {runs} WHERE level = {lv})"
+    out = f"m1 AS (SELECT {there(1)} AS m), c1 AS (SELECT *, level AS new_level, idx AS new_idx FROM {runs})"
     for lv in range(1, max_level):
-        up = f"new_level = {lv} AND new_idx <= n // 2 * 2"
-        out += f", c{lv + 1} AS (SELECT * EXCLUDE (new_level, new_idx, n), CASE WHEN {up} THEN {lv + 1} ELSE new_level END AS new_level, CASE WHEN {up} THEN (new_idx + 1) // 2 WHEN new_level = {lv} THEN 1 ELSE new_idx END AS new_idx, n // 2 AS n FROM c{lv})"
+        up = f"new_level = {lv} AND new_idx <= (SELECT m // 2 * 2 FROM m{lv})"
+        out += f", m{lv + 1} AS (SELECT {there(lv + 1)} + m // 2 AS m FROM m{lv})"
+        out += f", c{lv + 1} AS (SELECT * REPLACE (CASE WHEN {up} THEN {lv + 1} ELSE new_level END AS new_level, CASE WHEN {up} THEN {there(lv + 1)} + (new_idx + 1) // 2 WHEN new_level = {lv} THEN 1 ELSE new_idx END AS new_idx) FROM c{lv})"
     return out
 
 
-_KEPT = "SELECT new_level, new_idx, key, value, tombstone, ts FROM (SELECT *, row_number() OVER (PARTITION BY new_level, new_idx, key ORDER BY ts DESC, idx DESC) AS kn FROM {t}) WHERE kn = 1"
+_KEPT = "SELECT new_level, new_idx, key, value, tombstone, ts FROM (SELECT *, row_number() OVER (PARTITION BY new_level, new_idx, key ORDER BY ts DESC, level, idx DESC) AS kn FROM {t}) WHERE kn = 1"
 _KEPT_COLUMNS = ["new_level", "new_idx", "key", "value", "tombstone", "ts"]
 
 
@@ -299,15 +320,17 @@ def compact_size_tiered(spark, sf_dir):
 COARSE_RUNS = f"{KV_COARSE}, {runs_sql()}"
 
 
-@query(f"WITH {COARSE_RUNS} SELECT key, value, tombstone, ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, idx DESC) AS kn FROM runs WHERE idx IN (1, 2)) WHERE kn = 1")
+@query(f"WITH {COARSE_RUNS} SELECT pair, key, value, tombstone, ts FROM (SELECT *, (idx - 1) // 2 AS pair, row_number() OVER (PARTITION BY (idx - 1) // 2, key ORDER BY ts DESC, idx DESC) AS kn FROM runs) WHERE kn = 1")
 def merge_two_runs(spark, sf_dir):
-    return compaction.merge(runs_of(kv_log_coarse(spark, sf_dir)).filter("idx in (1, 2)")).select("key", "value", "tombstone", "ts")
+    """Every two neighbouring runs."""
+    runs = runs_of(kv_log_coarse(spark, sf_dir)).withColumn("pair", F.floor((F.col("idx") - 1) / 2))
+    return compaction.merge(runs, ["pair", "key"]).select("pair", "key", "value", "tombstone", "ts")
 
 
-@query(f"WITH {COARSE_RUNS} SELECT key, value, tombstone, ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, idx) AS kn FROM runs WHERE idx <= 5) WHERE kn = 1")
+@query(f"WITH {COARSE_RUNS} SELECT key, value, tombstone, ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, idx) AS kn FROM runs) WHERE kn = 1")
 def merge_k_runs(spark, sf_dir):
-    """Ties go to the first run of the list."""
-    return compaction.merge(runs_of(kv_log_coarse(spark, sf_dir)).filter("idx <= 5"), tie="first").select("key", "value", "tombstone", "ts")
+    """All runs at once; ties go to the first of the list."""
+    return compaction.merge(runs_of(kv_log_coarse(spark, sf_dir)), tie="first").select("key", "value", "tombstone", "ts")
 
 
 def _two_levels(runs: DataFrame) -> DataFrame:
@@ -320,12 +343,12 @@ def _two_levels(runs: DataFrame) -> DataFrame:
 _TWO = "h AS (SELECT max(idx) // 2 AS h FROM runs), two AS (SELECT CASE WHEN idx <= h THEN 2 ELSE 1 END AS level, CASE WHEN idx <= h THEN idx ELSE idx - h END AS idx, key, value, tombstone, ts, seq FROM runs, h)"
 _ENDS = "e AS (SELECT level, idx, min(key) AS f, max(key) AS l FROM two GROUP BY 1, 2)"
 _MULT = SHIPPED.leveled_compaction_multiplier
-_TAKEN = "taken AS (SELECT level, idx FROM e WHERE level = 1 UNION ALL SELECT level, idx FROM e WHERE level = 2 AND EXISTS (SELECT 1 FROM e o WHERE o.level = 1 AND NOT (e.l < o.f OR e.f > o.l)))"
+_TAKEN = "hull AS (SELECT min(f) AS lo, max(l) AS hi FROM e WHERE level = 1), taken AS (SELECT level, idx FROM e WHERE level = 1 UNION ALL SELECT level, idx FROM e, hull WHERE level = 2 AND NOT (l < lo OR f > hi))"
 
 
 @query(f"WITH {WIDE_RUNS}, {_TWO}, {_ENDS}, {_TAKEN} SELECT * FROM taken")
 def leveled_candidates(spark, sf_dir):
-    return compaction.leveled_candidates(_two_levels(runs_of(kv_log_wide(spark, sf_dir))), 1, _MULT)
+    return compaction.leveled_candidates(_two_levels(_wide_runs(spark, sf_dir)), 1, _MULT)
 
 
 @query(
@@ -333,7 +356,33 @@ def leveled_candidates(spark, sf_dir):
     f"SELECT key, value, tombstone, ts, (row_number() OVER (ORDER BY key) - 1) // {SHIPPED.memtable_size} + 1 AS new_idx FROM m"
 )
 def compact_leveled(spark, sf_dir):
-    return compaction.leveled(_two_levels(runs_of(kv_log_wide(spark, sf_dir))), 1, _MULT, SHIPPED.memtable_size)
+    return compaction.leveled(_two_levels(_wide_runs(spark, sf_dir)), 1, _MULT, SHIPPED.memtable_size)
+
+
+@query(f"WITH {RUNS}, {_TWO}, {_cascade_sql(SHIPPED.lsm_max_level, 'two')} " + _KEPT.format(t=f"c{SHIPPED.lsm_max_level}"))
+def compact_levels(spark, sf_dir):
+    """Size-tiered compaction of a store that holds runs on two levels already."""
+    return compaction.compact_full(_two_levels(kv_runs(spark, sf_dir)), SHIPPED.lsm_max_level).select(*_KEPT_COLUMNS)
+
+
+_M40 = SHIPPED.memtable_size
+_STEP = f"SELECT 2 AS level, (row_number() OVER (ORDER BY key) - 1) // {_M40} + 1 AS idx, key, value, tombstone, ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, level, idx DESC) AS kn FROM {{t}}) WHERE kn = 1"
+
+
+@query(
+    f"WITH {RUNS}, h AS (SELECT max(idx) // 2 AS h FROM runs), one AS ({_STEP.format(t='(SELECT r.* FROM runs r, h WHERE idx <= h)')}), "
+    "two AS (SELECT level, idx, key, value, tombstone, ts FROM runs, h WHERE idx > h UNION ALL SELECT * FROM one), "
+    f"{_ENDS}, {_TAKEN}, b AS (SELECT count(*) AS n FROM e, hull WHERE level = 2 AND l < lo), g AS (SELECT count(*) AS n FROM taken WHERE level = 2), "
+    f"new AS ({_STEP.format(t='(SELECT two.* FROM two JOIN taken USING (level, idx))')}), made AS (SELECT max(idx) AS n FROM new), "
+    "kept AS (SELECT two.* FROM two ANTI JOIN taken USING (level, idx)) "
+    "SELECT level, idx + (SELECT n FROM b) AS idx, key, value, tombstone, ts FROM new UNION ALL SELECT level, CASE WHEN idx <= (SELECT n FROM b) THEN idx ELSE idx - (SELECT n FROM g) + (SELECT n FROM made) END, key, value, tombstone, ts FROM kept"
+)
+def compact_leveled_store(spark, sf_dir):
+    """The store after leveled steps of level 1: the older half of the runs first, then the newer half on top of that."""
+    runs = kv_runs(spark, sf_dir)
+    half = (runs.agg(F.max("idx").alias("n")).first()["n"] or 0) // 2
+    one = compaction.leveled_step(runs.filter(F.col("idx") <= half), 1, _MULT, _M40)
+    return compaction.leveled_step(runs.filter(F.col("idx") > half).select(*one.columns).union(one), 1, _MULT, _M40)
 
 
 @query(f"WITH {RUNS}, {_cascade_sql(2)}, k AS ({_KEPT.format(t='c2')}) SELECT new_level, new_idx, count(*) AS n_rows, count(*) FILTER (tombstone) AS n_tombstones FROM k GROUP BY 1, 2")
@@ -381,23 +430,55 @@ def bloom_params(spark, sf_dir):
     return spark.createDataFrame([(n, p, *sketches.bloom_params(n, p)) for n, p in _SIZES], "n long, p double, m long, k long")
 
 
-def _bits_sql(item: str, source: str) -> str:
-    return f"SELECT DISTINCT unnest([{', '.join(hashing.bucket_sql(item, SEED0 + i, BM) for i in range(BK))}]) AS bucket FROM {source}"
+def _sized(item: str, p: float = 0.01) -> str:
+    """Bits of a filter for all distinct items, as a common table expression; the number of hash functions hardly depends on it."""
+    return f"size AS (SELECT ceil(count(DISTINCT {item}) * abs(ln({p})) / pow(ln(2), 2))::BIGINT AS m FROM part)"
+
+
+def _bits_sql(item: str, source: str, extra: str = "") -> str:
+    return f"SELECT DISTINCT {extra}unnest([{', '.join(hashing.bucket_sql(item, SEED0 + i, '(SELECT m FROM size)') for i in range(BK))}]) AS bucket FROM {source}"
+
+
+def _filter_size(items: DataFrame) -> tuple[int, int]:
+    n = items.select("item").distinct().count()
+    m, k = sketches.bloom_params(max(n, 1), 0.01)
+    return m, k
+
+
+def _part_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("item"), "p_brand")
 
 
-@query(_bits_sql("p_name", "part WHERE p_partkey % 10 = 0"))
+_PART_NAME = "(p_name || '#' || p_partkey::VARCHAR)"
+
+
+@query(f"WITH {_sized(_PART_NAME)} {_bits_sql(_PART_NAME, 'part')}")
 def bloom_build(spark, sf_dir):
-    return sketches.bloom_build(table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_name").alias("item")), BM, BK, SEED0)
+    """Over all of part, sized for its distinct items."""
+    items = _part_names(spark, sf_dir)
+    m, k = _filter_size(items)
+    return sketches.bloom_build(items, m, k, SEED0)
+
 
+@query(f"WITH {_sized(_PART_NAME)}, each AS ({_bits_sql(_PART_NAME, 'part', 'p_brand, ')}) SELECT p_brand AS grp, count(*) AS n_bits FROM each GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT bucket) FROM each")
+def bloom_merge_by_group(spark, sf_dir):
+    """Extension: a filter for each brand, and their union."""
+    items = _part_names(spark, sf_dir)
+    m, k = _filter_size(items)
+    each = sketches.bloom_build(items, m, k, SEED0, groups=["p_brand"])
+    count = F.count(F.lit(1)).alias("n_bits")
+    return each.groupBy(F.col("p_brand").alias("grp")).agg(count).union(sketches.bloom_merge(each).agg(count).select(F.lit("all"), "n_bits"))
 
-_PROBE = f"bits AS ({_bits_sql('p_brand', 'part WHERE p_size < 10')}), items AS (SELECT DISTINCT p_name AS item FROM part UNION SELECT DISTINCT p_brand FROM part), b AS (SELECT item, unnest([{', '.join(hashing.bucket_sql('item', SEED0 + i, BM) for i in range(BK))}]) AS bucket FROM items), probe AS (SELECT item, bool_and(bucket IN (SELECT bucket FROM bits)) AS maybe FROM b GROUP BY 1)"
+
+_PROBE = f"{_sized('p_brand')}, bits AS ({_bits_sql('p_brand', 'part')}), items AS (SELECT DISTINCT p_name AS item FROM part UNION SELECT DISTINCT p_brand FROM part), b AS (SELECT item, unnest([{', '.join(hashing.bucket_sql('item', SEED0 + i, '(SELECT m FROM size)') for i in range(BK))}]) AS bucket FROM items), probe AS (SELECT item, bool_and(bucket IN (SELECT bucket FROM bits)) AS maybe FROM b GROUP BY 1)"
 
 
 def _probe(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    bits = sketches.bloom_build(part.filter("p_size < 10").select(F.col("p_brand").alias("item")), BM, BK, SEED0)
-    items = part.select(F.col("p_name").alias("item")).union(part.select("p_brand"))
-    return sketches.bloom_probe(items, bits, BM, BK, SEED0)
+    there = part.select(F.col("p_brand").alias("item"))
+    m, k = _filter_size(there)
+    items = part.select(F.col("p_name").alias("item")).union(there)
+    return sketches.bloom_probe(items, sketches.bloom_build(there, m, k, SEED0), m, k, SEED0)
 
 
 @query(f"WITH {_PROBE} SELECT * FROM probe")
@@ -405,10 +486,10 @@ def bloom_probe(spark, sf_dir):
     return _probe(spark, sf_dir)
 
 
-@query(f"WITH {_PROBE}, truth AS (SELECT DISTINCT p_brand AS item FROM part WHERE p_size < 10) SELECT count(*) AS n_absent, count(*) FILTER (maybe) AS n_false_positive, (SELECT count(*) FROM probe JOIN truth USING (item) WHERE NOT maybe) AS n_false_negative FROM probe WHERE item NOT IN (SELECT item FROM truth)")
+@query(f"WITH {_PROBE}, truth AS (SELECT DISTINCT p_brand AS item FROM part) SELECT count(*) AS n_absent, count(*) FILTER (maybe) AS n_false_positive, (SELECT count(*) FROM probe JOIN truth USING (item) WHERE NOT maybe) AS n_false_negative FROM probe WHERE item NOT IN (SELECT item FROM truth)")
 def bloom_fpr(spark, sf_dir):
     probe = _probe(spark, sf_dir)
-    truth = table(spark, sf_dir, "part").filter("p_size < 10").select(F.col("p_brand").alias("item"), F.lit(True).alias("there")).distinct()
+    truth = table(spark, sf_dir, "part").select(F.col("p_brand").alias("item"), F.lit(True).alias("there")).distinct()
     rows = probe.join(truth, "item", "left").withColumn("there", F.coalesce("there", F.lit(False)))
     return rows.agg(F.count_if(~F.col("there")).alias("n_absent"), F.count_if(~F.col("there") & F.col("maybe")).alias("n_false_positive"), F.count_if(F.col("there") & ~F.col("maybe")).alias("n_false_negative"))
 
@@ -431,6 +512,13 @@ def cms_build(spark, sf_dir):
     return sketches.cms_build(_brands(spark, sf_dir), CM, CK, SEED0)
 
 
+@query(f"WITH {_cms_sql('float')} SELECT * FROM cms")
+def cms_merge_by_group(spark, sf_dir):
+    """Extension: a sketch for each part type, summed up to that of all."""
+    items = table(spark, sf_dir, "part").select("p_type", F.col("p_brand").alias("item"))
+    return sketches.cms_merge(sketches.cms_build(items, CM, CK, SEED0, groups=["p_type"]))
+
+
 @query(f"WITH {_cms_sql('float')} SELECT item, min(cnt) AS estimate FROM (SELECT DISTINCT item, row, col FROM h) JOIN cms USING (row, col) GROUP BY 1")
 def cms_estimate(spark, sf_dir):
     items = _brands(spark, sf_dir)
@@ -491,7 +579,56 @@ def hll_merge_by_group(spark, sf_dir):
 @query()
 def spark_sketches(spark, sf_dir):
     """Spark's own sketches over the same items; other algorithms, so other estimates."""
-    return _order_keys(spark, sf_dir).agg(F.approx_count_distinct("item").alias("approx_count_distinct"), F.hll_sketch_estimate(F.hll_sketch_agg("item", 12)).alias("datasketches_hll"))
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_orderkey").cast("string").alias("item"))
+    each = items.groupBy("l_returnflag").agg(F.hll_sketch_agg("item", 12).alias("hll"))
+    union = each.agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("datasketches_hll_union"))
+    whole = items.agg(
+        F.approx_count_distinct("item").alias("approx_count_distinct"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("item", 12)).alias("datasketches_hll"),
+        F.length(F.count_min_sketch("item", F.lit(0.01), F.lit(0.99), F.lit(7))).alias("count_min_sketch_bytes"),
+        F.expr("approx_top_k(l_returnflag, 3)").alias("top_flags"),
+    )
+    return whole.join(union)  # one row each
+
+
+_SJ = "'{{\"m\":{m},\"k\":{k},\"seed\":{s},' || "
+_BRAND_BITS = f"bits AS (SELECT DISTINCT unnest([{', '.join(hashing.bucket_sql('p_brand', SEED0 + i, BM) for i in range(BK))}]) AS bucket FROM part)"
+
+
+@query(
+    f"WITH {_cms_sql('float')}, {_BRAND_BITS}, {_hll_sql()} "
+    f"SELECT 'BloomFilterBrands' AS key, {_SJ.format(m=BM, k=BK, s=SEED0)} '\"bits\":[' || string_agg(bucket::VARCHAR, ',' ORDER BY bucket) || ']}}' AS value FROM bits "
+    f"UNION ALL SELECT 'CountMinSketchBrands', {_SJ.format(m=CM, k=CK, s=SEED0)} '\"cells\":[' || string_agg('{{\"row\":' || row || ',\"col\":' || col || ',\"cnt\":' || cnt || '}}', ',' ORDER BY row, col) || ']}}' FROM cms "
+    f"UNION ALL SELECT 'HyperLogLogOrders', '{{\"p\":{P},\"registers\":[' || string_agg('{{\"bucket\":' || bucket || ',\"rank\":' || rank || '}}', ',' ORDER BY bucket) || ']}}' FROM reg"
+)
+def sketch_values_stored(spark, sf_dir):
+    """The text under which each sketch stands in the store."""
+    log = _with_sketches(spark, sf_dir)
+    return point.snapshot(log.filter(F.col("key").isin("BloomFilterBrands", "CountMinSketchBrands", "HyperLogLogOrders"))).select("key", "value")
+
+
+def _with_sketches(spark, sf_dir) -> DataFrame:
+    log, brands = kv_log(spark, sf_dir), _brands(spark, sf_dir)
+    log = sketch_values.put(log, "BloomFilter", "Brands", sketch_values.bloom_value(sketches.bloom_build(brands.limit(0), BM, BK, SEED0), BM, BK, SEED0), 2_000_000_000)
+    log = sketch_values.put(log, "BloomFilter", "Brands", sketch_values.bloom_value(sketches.bloom_build(brands, BM, BK, SEED0), BM, BK, SEED0), 2_000_000_001)
+    log = sketch_values.put(log, "CountMinSketch", "Brands", sketch_values.cms_value(sketches.cms_build(brands, CM, CK, SEED0), CM, CK, SEED0), 2_000_000_001)
+    return sketch_values.put(log, "HyperLogLog", "Orders", sketch_values.hll_value(sketches.hll_registers(_order_keys(spark, sf_dir), P), P), 2_000_000_001)
+
+
+@query(
+    f"WITH {_cms_sql('float')}, {_BRAND_BITS}, probes AS (SELECT DISTINCT p_brand AS item FROM part UNION SELECT DISTINCT p_name FROM part), pb AS (SELECT item, unnest([{', '.join(hashing.bucket_sql('item', SEED0 + i, BM) for i in range(BK))}]) AS bucket FROM probes), {_hll_sql()} "
+    "SELECT 'bloom' AS sketch, item, CASE WHEN bool_and(bucket IN (SELECT bucket FROM bits)) THEN 1.0 ELSE 0.0 END::DOUBLE AS answer FROM pb GROUP BY item "
+    "UNION ALL SELECT 'cms', item, min(cnt)::DOUBLE FROM (SELECT DISTINCT item, row, col FROM h) JOIN cms USING (row, col) GROUP BY item "
+    f"UNION ALL SELECT 'hll', NULL, round({_EST}, 6)::DOUBLE FROM " + _RAW.format(g="", by="")
+)
+def sketch_values_asked(spark, sf_dir):
+    """Stored sketches are read back from the log and answer as the ones that were put."""
+    log, part = _with_sketches(spark, sf_dir), table(spark, sf_dir, "part")
+    brands = part.select(F.col("p_brand").alias("item"))
+    bloom = sketch_values.bloom_asks(log, "Brands", brands.union(part.select("p_name"))).select(F.lit("bloom").alias("sketch"), "item", F.col("maybe").cast("double").alias("answer"))
+    cms = sketch_values.cms_asks(log, "Brands", brands).select(F.lit("cms"), "item", F.col("estimate").cast("double"))
+    hll = sketch_values.hll_asks(log, "Orders").select(F.lit("hll"), F.lit(None).cast("string"), "estimate")
+    return bloom.union(cms).union(hll)
 
 
 _CAT = "all_ AS (SELECT seq, key, value, tombstone, ts FROM kv UNION ALL SELECT * FROM (VALUES (9000001, 'BloomFilterA', 'b1', false, 2000000001), (9000002, 'BloomFilterA', 'b2', false, 2000000002), (9000003, 'CountMinSketchC', 'c', false, 2000000001), (9000004, 'HyperLogLogH', 'h', false, 2000000001), (9000005, 'HyperLogLogH', '', true, 2000000002), (9000006, 'SimHashS', 's', false, 2000000001)) t(seq, key, value, tombstone, ts))"
@@ -534,7 +671,7 @@ _FP = (
 
 @query(f"WITH {_FP} SELECT * FROM fp")
 def simhash_fingerprint(spark, sf_dir):
-    return fingerprint.fingerprints(fingerprint.tokens(_texts(spark, sf_dir)))
+    return fingerprint.fingerprints(_texts(spark, sf_dir))
 
 
 _HAMMING = "len(list_filter(list_zip(string_split(a.fingerprint, ''), string_split(b.fingerprint, '')), lambda z: z[1] <> z[2]))"
@@ -543,15 +680,18 @@ _HAMMING = "len(list_filter(list_zip(string_split(a.fingerprint, ''), string_spl
 @query(f"WITH {_FP} SELECT a.id, {_HAMMING} AS distance FROM fp a JOIN fp b ON b.id = a.id + 1")
 def simhash_hamming(spark, sf_dir):
     """Each document against the next one."""
-    fp = checkpointed(fingerprint.fingerprints(fingerprint.tokens(_texts(spark, sf_dir))))
+    fp = checkpointed(fingerprint.fingerprints(_texts(spark, sf_dir)))
     b = fp.select((F.col("id") - 1).alias("id"), F.col("fingerprint").alias("other"))
     return fp.join(b, "id").select("id", fingerprint.hamming(fingerprint.words64(F.col("fingerprint")), fingerprint.words64(F.col("other"))).cast("long").alias("distance"))
 
 
-@query()
+_AGAIN = "again AS (SELECT id, array_to_string(list_transform(string_split(md5(fingerprint), ''), lambda c: lpad(bin(ascii(c)), 8, '0')), '') AS fingerprint FROM fp)"
+
+
+@query(f"WITH {_FP}, {_AGAIN} SELECT a.id, {_HAMMING} AS distance FROM again a JOIN again b ON b.id = a.id + 1")
 def simhash_compare_compat(spark, sf_dir):
     """The observable variant: each stored print is hashed once more as one token; equal prints still have distance 0."""
-    fp = checkpointed(fingerprint.fingerprints(fingerprint.tokens(_texts(spark, sf_dir))))
+    fp = checkpointed(fingerprint.fingerprints(_texts(spark, sf_dir)))
     again = fp.select("id", fingerprint.normal(F.col("fingerprint")).alias("token"))
     bits = again.join(fingerprint.token_bits(again.select("token")), "token").select("id", "bits")
     b = bits.select((F.col("id") - 1).alias("id"), F.col("bits").alias("other"))
@@ -563,7 +703,7 @@ NEAR = 12
 
 @query(f"WITH {_FP}, u AS (SELECT DISTINCT fingerprint, " + ", ".join(f"substr(fingerprint, {64 * i + 1}, 64)::BIT AS w{i}" for i in range(4)) + f" FROM fp), p AS (SELECT a.fingerprint AS fp_a, b.fingerprint AS fp_b, ({' + '.join(f'bit_count(xor(a.w{i}, b.w{i}))' for i in range(4))})::BIGINT AS distance FROM u a JOIN u b ON a.fingerprint < b.fingerprint) SELECT * FROM p WHERE distance <= {NEAR}")
 def simhash_near_dups(spark, sf_dir):
-    fp = fingerprint.fingerprints(fingerprint.tokens(_texts(spark, sf_dir)))
+    fp = checkpointed(fingerprint.fingerprints(_texts(spark, sf_dir)))
     return fingerprint.near_pairs(fp, NEAR).withColumn("distance", F.col("distance").cast("long"))
 
 
@@ -608,10 +748,11 @@ def merkle_file_root(spark, sf_dir):
     return merkle.roots(spark.read.text(path).select(F.lit(0).cast("long").alias("tree"), F.get(parts, F.lit(0)).cast("long").alias("pos"), F.get(parts, F.lit(1)).alias("data")), 100)
 
 
-@query(f"WITH {RUNS}, {_LEAVES}, a AS (SELECT pos, sha1(encode(data)) AS hash_a FROM leaves WHERE tree = 1), b AS (SELECT pos, sha1(encode(data)) AS hash_b FROM leaves WHERE tree = 2) SELECT pos, hash_a, hash_b FROM a FULL JOIN b USING (pos) WHERE hash_a IS DISTINCT FROM hash_b")
+@query(f"WITH {RUNS}, {_LEAVES}, a AS (SELECT (tree - 1) // 2 AS pair, pos, sha1(encode(data)) AS hash_a FROM leaves WHERE tree % 2 = 1), b AS (SELECT (tree - 1) // 2 AS pair, pos, sha1(encode(data)) AS hash_b FROM leaves WHERE tree % 2 = 0) SELECT pair, pos, hash_a, hash_b FROM a FULL JOIN b USING (pair, pos) WHERE hash_a IS DISTINCT FROM hash_b")
 def merkle_diff(spark, sf_dir):
-    leaves = _leaves(spark, sf_dir)
-    return merkle.diff(leaves.filter("tree = 1"), leaves.filter("tree = 2"))
+    """Every two neighbouring trees."""
+    leaves = _leaves(spark, sf_dir).withColumn("pair", F.floor((F.col("tree") - 1) / 2))
+    return merkle.diff(leaves.filter("tree % 2 = 1"), leaves.filter("tree % 2 = 0"), ["pair"])
 
 
 # Policies
@@ -674,7 +815,7 @@ def kv_age(spark, sf_dir):
 _KEYS = ["BloomFilterX", "bloomfilter", "SimHash", "HyperLogLog1", "CountMinSketch", "12", "1a", "", "a"]
 
 
-@query(f"SELECT key, {_KIND} <> 'value' AS reserved, regexp_matches(key, '^[0-9]+$') AS \"numeric\" FROM (SELECT unnest([{', '.join(repr(k) for k in _KEYS)}]) AS key UNION ALL SELECT p_name FROM part)")
+@query(f"SELECT key, {_KIND} <> 'value' AS reserved, regexp_matches(key, '^[0-9]+$') AS \"numeric\", regexp_matches(key, '[0-9]') AS numeric_compat FROM (SELECT unnest([{', '.join(repr(k) for k in _KEYS)}]) AS key UNION ALL SELECT p_name FROM part)")
 def key_validation(spark, sf_dir):
     keys = spark.createDataFrame([(k,) for k in _KEYS], "key string")
     return catalog.validate(keys.union(table(spark, sf_dir, "part").select("p_name")))
