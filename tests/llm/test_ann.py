@@ -57,3 +57,29 @@ def test_copies_ties_and_odd_vectors(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 22, 2.0), (2, 21, 0.5)]
     none = odd.limit(0)
     assert ann.search(none, none, ann.fit(none)).count() == 0
+
+
+def test_repeated_queries_lose_nothing(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 8)).astype(np.float32).astype(float)
+    ids = np.concatenate([np.arange(400), np.full(3, 20)])
+    got = run(spark, ids, np.concatenate([x, np.tile(x[20], (3, 1))]))
+    once = run(spark, np.arange(400), x)
+    want = brute(np.arange(400), x, np.arange(0, 400, 20), x[::20], 20)
+    for found in (got, once):
+        assert all(len({v for _, v, _ in found[q]}) == len(found[q]) == 20 for q in want)
+        assert sum(len({v for _, v, _ in found[q]} & set(want[q])) for q in want) / (20 * len(want)) >= 0.9
+
+
+def test_lengths_and_large_numbers(spark):
+    rows = [(20, [1e200, 1.0]), (21, [1e200, 0.0]), (22, [-1e200, 0.0]), (23, [1.0, 1.0]), (24, [1.0]), (25, [1.0, 2.0, 3.0])]
+    odd = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(odd, odd.filter("id = 20"), ann.fit(odd), 5).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(21, float("inf")), (23, 1e200), (22, float("-inf"))]
+    big = np.random.default_rng(6).integers(1, 4, (300, 4)) * 2.0**40  # many ties between large numbers
+    want = brute(np.arange(300), big, np.arange(0, 300, 20), big[::20], 20)
+    assert {q: [v for _, v, _ in r] for q, r in run(spark, np.arange(300), big).items()} == want
+
+
+def test_trees_grow_with_the_table():
+    assert [ann.depth_for(n) for n in (0, 10, 3000, 48_000, 1_536_000)] == [1, 1, 1, 5, 10]

@@ -10,6 +10,7 @@ A leaf of many rows or many queries is dealt out as a grid of tasks: each holds
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K = 20
-TREES, DEPTH, LEAST_LEAF = 2, 5, 64
+#: Trees grow with the table: a leaf holds about LEAF_ROWS of its rows, and LEAST_LEAF rows of the sample at least.
+TREES, LEAF_ROWS, LEAST_LEAF = 3, 1500, 4
 #: Bounds of the sample on which trees are grown, and of the queries on which the number of leaves is set.
 SAMPLE_ROWS, SAMPLE_QUERIES = 10_000, 100
-TARGET = 0.97
+TARGET = 0.94
 #: Rows held, and queries seen, by one task of a leaf.
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 200_000
 BATCH = 256
-EPS = 1e-9
+#: By how much a rough score may be off, as a share of the product of the vectors' lengths.
+EPS = 1e-12
 
 
 @dataclass(frozen=True)
@@ -48,7 +51,7 @@ class Tree:
         return -1 - out
 
 
-def grow(sample: np.ndarray, rng: np.random.Generator, depth: int = DEPTH, least: int = LEAST_LEAF) -> Tree:
+def grow(sample: np.ndarray, rng: np.random.Generator, depth: int, least: int = LEAST_LEAF) -> Tree:
     """Each node splits its rows at the median of a random projection, if it can."""
     normals, cuts, children, leaves = [], [], [], 0
 
@@ -124,24 +127,32 @@ class Forest:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, vec): rows with an id whose vector isn't null, empty or zero, and has no null or non-finite component."""
+    """(id, vec): rows with an id whose vector isn't null, empty or zero, and has no null or non-finite component.
+
+    Vectors that aren't of the commonest length (of equally common ones, the greatest) can't be compared, and take no part.
+    """
     v = F.col(vec_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
+    usual = rows.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "dims"))["dims"].alias("dims")).first()["dims"]
+    return rows.filter(F.size("vec") == F.lit(usual or 0))
+
+
+def depth_for(rows: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """So many levels that a leaf holds about leaf_rows of the table's rows."""
+    return max(1, round(math.log2(max(rows, 1) / leaf_rows))) if rows > leaf_rows else 1
 
 
-def fit(rows: DataFrame, seed: int = 11, trees: int = TREES, depth: int = DEPTH, k: int = K, target: float = TARGET) -> Forest:
+def fit(rows: DataFrame, seed: int = 11, trees: int = TREES, depth: int | None = None, k: int = K, target: float = TARGET) -> Forest:
+    """Grown on about SAMPLE_ROWS different rows, picked by a hash of their ids."""
     n = rows.count()
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    got = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).collect()
-    sizes = {len(r["vec"]) for r in got}
-    if len(sizes) > 1:
-        raise ValueError(f"vectors of several lengths: {sorted(sizes)}")
+    got = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).distinct().limit(2 * SAMPLE_ROWS).collect()
     got.sort(key=lambda r: (hash(r["id"]), r["vec"]))
     rng = np.random.default_rng(seed)
     sample = np.array([r["vec"] for r in got]) if got else np.zeros((0, 0))
     sample = sample[rng.permutation(len(sample))]
-    grown = [grow(sample, rng, depth) for _ in range(trees)]
+    grown = [grow(sample, rng, depth or depth_for(n)) for _ in range(trees)]
     return Forest(grown, visits_for_recall(grown, sample, k, target))
 
 
@@ -176,8 +187,11 @@ def _least_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
 
 
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """Each query's k best (-score, id) among the rows, without rows of its own id."""
-    rough = q @ x.T
+    """Each query's k best (-score, id) among the rows, without rows of its own id. A score that overflows both ways is the least."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = np.nan_to_num(q @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        longest = np.sqrt((x * x).sum(axis=1)).max()
+        off = np.nan_to_num(EPS * x.shape[1] * np.sqrt((q * q).sum(axis=1)) * longest, posinf=np.inf)
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
     out = []
     take = min(2 * k + 4, len(ids))
@@ -186,10 +200,12 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
         at = top[i]
         s = rough[i, at]
         kth = np.partition(-s, min(k, take) - 1)[min(k, take) - 1]
-        if take < len(ids) and s.min() >= -kth - EPS:  # ties may go on
-            at = np.flatnonzero(rough[i] >= -kth - EPS)
-        at = at[np.isfinite(rough[i, at])]
-        exact = (q[i] * x[at]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
+        least = -kth - off[i] if np.isfinite(off[i]) else -np.inf
+        if take < len(ids) and s.min() >= least:  # ties may go on
+            at = np.flatnonzero(rough[i] >= least)
+        at = at[ids[at] != q_ids[i]]
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.nan_to_num((q[i] * x[at]).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)  # the same sum for equal vectors, wherever they stand
         order = np.lexsort((ids[at], -exact))[:k]
         out.append([(-float(exact[j]), int(ids[at[j]])) for j in order])
     return out
@@ -231,10 +247,11 @@ def _ranked(met: DataFrame, k: int) -> DataFrame:
 def search(rows: DataFrame, queries: DataFrame, forest: Forest, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best found among rows, but not those of its own id.
 
-    rows and queries: (id, vec) as usable() gives them. Equal scores go to the smaller id; a repeated row counts once. Empty
-    tables give an empty result.
+    rows and queries: (id, vec) as usable() gives them. Equal scores go to the smaller id; a repeated row counts once, as a
+    candidate and as a query. Where an id has several vectors, each is a candidate, and its queries share one list. Empty tables
+    give an empty result.
     """
-    filed, asked = _filed(rows, forest, False), _filed(queries, forest, True)
+    filed, asked = _filed(rows, forest, False), _filed(queries.select("id", "vec").distinct(), forest, True)
     # Both counts have one row for each leaf of the forest.
     n = {r["cell"]: r["n"] for r in filed.select("cell").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     m = {r["cell"]: r["n"] for r in asked.select("cell").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -254,8 +271,9 @@ def search(rows: DataFrame, queries: DataFrame, forest: Forest, k: int = K, bloc
     met = grid(filed, down, across, True, 0).union(grid(asked, across, down, False, 1))
     met = met.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "ask")
     best = _ranked(met, k).groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("all"))  # at most visits x tasks x k entries a query
-    # A row is in one leaf of each tree, so the best k * trees entries hold the best k rows.
-    first = F.slice(F.sort_array("all"), 1, k * len(forest.trees))
-    best = best.select("query_id", F.slice(F.array_distinct(first), 1, k).alias("best"))
+    # In order, what several leaves or trees gave alike stands side by side.
+    fresh = lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1)))
+    first = F.get(F.transform(F.array(F.sort_array("all")), lambda a: F.slice(fresh(a), 1, k)), F.lit(0))
+    best = best.select("query_id", first.alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("at", "b"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.s")).alias("score"))
