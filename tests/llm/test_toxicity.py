@@ -41,6 +41,39 @@ def test_held_out_and_swaps(spark):
     assert spread(model) < 0.1 * spread(free) and max(map(model.scorer(), neutral)) < 0.1
 
 
+def test_fewer_neutral_mentions_are_flagged():
+    """Labels that go along with mentions: the plain model flags clean sentences for them, the regularised one doesn't."""
+    rows, labels = corpus(3000, 8)
+    extra = [(f"word{i}x word{i + 1}x gay word{i + 2}x", int(i % 4 > 0)) for i in range(200)]  # one group's mentions alone, mostly labelled toxic
+    extra += [(f"word{i}x word{i + 3}x {['women', 'men', 'elderly', 'straight'][i % 4]} word{i + 5}x", 0) for i in range(600)]  # other groups'
+    texts = [(t, y) for (_, t, _), (_, y) in zip(rows, labels, strict=True)] + extra
+    docs = [(tx.ids_of(tx.words_of(t)), [(tx.ids_of(tx.words_of(a)), tx.ids_of(tx.words_of(b))) for a, b in tx.counterfactuals(t)], y) for t, y in texts]
+    neutral = [f"word{i}x word{i + 7}x gay word{i + 9}x word{i + 11}x" for i in range(300, 500)]
+    flagged = {p: sum(map(lambda t, m=tx.train(docs, p): m.scorer()(t) >= tx.THRESHOLD, neutral)) / len(neutral) for p in (0.0, tx.PENALTY)}
+    assert flagged[0.0] > 0.5 and flagged[tx.PENALTY] < 0.2 * flagged[0.0]
+
+
+def test_counterfactual_sentences():
+    pairs = tx.counterfactuals("Clean words here. The Gay man sings!")
+    assert pairs and all(a == "the gay man sings!" and a != b for a, b in pairs)
+    for a, b in tx.counterfactuals("Nothing of that kind."):
+        x, y = a.split(), b.split()
+        assert len(x) == len(y) == 5 and sum(p != q for p, q in zip(x, y, strict=True)) == 1 and {*x, *y} & set(tx.IDENTITY)
+    assert len(tx.counterfactuals(None)) == len(tx.counterfactuals("")) == tx.SWAPS
+
+
+def test_scores_by_hand(spark):
+    """Every score against the sum of its features' weights."""
+    rows, labels = corpus(400)
+    docs = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
+    model = tx.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in tx.classify(docs, model).collect()}
+    for i, text, _ in rows:
+        names = {f for w in set(text.lower().split()) for f in (f"w {w}", *(f"{n} {w[:n]}" for n in (4, 5) if len(w) > n))}
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in {zlib.crc32(x.encode()) % tx.DIMS for x in names})
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_edge_cases(spark):
     rows, labels = corpus(400)
     docs = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")

@@ -1,13 +1,14 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over hashed features of a text's distinct words (whole words and word beginnings). Besides the log loss on
-labelled documents, training penalises how far the score moves when an identity term is swapped for another: in labelled
-sentences that hold one, and in labelled sentences to which a mention is added. So the model can't lean on the mention of a
-group, and neutral mentions aren't flagged.
+labelled documents, training penalises how far the score (in log odds) moves between two versions of a labelled sentence: as it
+is and with its identity term swapped for another, or, where a document has none, with one and with another term put in. So the
+model can't lean on the mention of a group, and neutral mentions aren't flagged.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,8 +23,8 @@ from .common import fold
 
 #: Bound of the training sample, in labelled documents.
 SAMPLE_ROWS = 12_000
-#: Features that the model keeps, and what it takes to be kept: documents, chi-square and log odds.
-FEATURES, LEAST_DOCS, LEAST_CHI2, LEAST_ODDS = 4096, 5, 25.0, 1.0
+#: What it takes for a feature to be kept: documents, chi-square and log odds.
+LEAST_DOCS, LEAST_CHI2, LEAST_ODDS = 5, 25.0, 1.0
 DIMS = 1 << 20
 PENALTY, L2, ROUNDS = 4.0, 1e-6, 1500
 SWAPS = 2
@@ -54,6 +55,32 @@ def features_of(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) % DIMS for x in names]
 
 
+def ids_of(words: set[str]) -> np.ndarray:
+    return np.array(sorted({f for w in words for f in features_of(w)}), np.uint32)
+
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_TERMS = frozenset(IDENTITY)
+
+
+def counterfactuals(text: str | None, n: int = SWAPS) -> list[tuple[str, str]]:
+    """n pairs of versions of the text's sentences that differ in an identity term only; the text decides which."""
+    rng = random.Random(zlib.crc32((text or "").encode("utf-8", "replace")))
+    sentences = [s for s in _SENTENCE.split((text or "").lower()) if s.strip()] or [""]
+    held = [(s, m) for s in sentences for m in _WORD.finditer(s) if m[0] in _TERMS]
+    out = []
+    for _ in range(n):
+        if held:
+            s, m = rng.choice(held)
+            out.append((s, s[: m.start()] + rng.choice([t for t in IDENTITY if t != m[0]]) + s[m.end() :]))
+        else:
+            ws = rng.choice(sentences).split()
+            at = rng.randint(0, len(ws))
+            a, b = rng.sample(IDENTITY, 2)
+            out.append((" ".join([*ws[:at], a, *ws[at:]]), " ".join([*ws[:at], b, *ws[at:]])))
+    return out
+
+
 def held_out(id_col: Column) -> Column:
     return fold(id_col, 4) == 2
 
@@ -84,8 +111,8 @@ class ToxicityModel:
         return score
 
 
-def train(docs: list[tuple[np.ndarray, set[str], int]], penalty: float = PENALTY, seed: int = 0) -> ToxicityModel:
-    """docs: (distinct feature ids, identity terms, label). Without both labels the model is the prior."""
+def train(docs: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], int]], penalty: float = PENALTY) -> ToxicityModel:
+    """docs: (distinct feature ids, feature ids of both versions of some sentences, label). Without both labels the model is the prior."""
     y = np.array([t for _, _, t in docs], float)
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
@@ -99,7 +126,7 @@ def train(docs: list[tuple[np.ndarray, set[str], int]], penalty: float = PENALTY
     chi2 = (c1 - expect) ** 2 * total * total / np.maximum(expect * n0 * (total - c1 - c0), 1e-9)
     odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
     fit = (c1 + c0 >= LEAST_DOCS) & (chi2 >= LEAST_CHI2) & (np.abs(odds) >= LEAST_ODDS)
-    kept = np.argsort(-np.where(fit, chi2, -1), kind="stable")[: min(FEATURES, int(fit.sum()))]
+    kept = np.flatnonzero(fit)
     terms = {t: np.array(features_of(t)) for t in IDENTITY}
     kept = np.unique(np.concatenate([kept, *terms.values()]))
     place = np.full(DIMS, -1)
@@ -107,15 +134,10 @@ def train(docs: list[tuple[np.ndarray, set[str], int]], penalty: float = PENALTY
     keep = place[col] >= 0
     row, col = row[keep], place[col[keep]]
 
-    # Swapped pairs: the difference of the two versions' features. They don't depend on the rest of the sentence.
-    rng = np.random.default_rng(seed)
-    pairs = []
-    for _, own, _ in docs:
-        for _ in range(SWAPS):
-            old = rng.choice(sorted(own)) if own else rng.choice(IDENTITY)
-            pairs.append((old, rng.choice(IDENTITY)))
-    sign = [(k, f, s) for k, (a, b) in enumerate(pairs) for t, s in ((a, -1.0), (b, 1.0)) for f in place[terms[t]]]
-    prow, pcol, pval = (np.array(x) for x in zip(*sign, strict=True))
+    # Both versions of every counterfactual sentence, one with -1 and one with 1: what they share cancels out.
+    pairs = [p for _, own, _ in docs for p in own]
+    sign = [(k, f, s) for k, (a, b) in enumerate(pairs) for ids, s in ((a, -1.0), (b, 1.0)) for f in place[ids].tolist() if f >= 0]
+    prow, pcol, pval = (np.array(x) for x in zip(*(sign or [(0, 0, 0.0)]), strict=True))
 
     size = len(kept)
     w, bias = np.zeros(size), float(np.log(n1 / n0))
@@ -125,7 +147,7 @@ def train(docs: list[tuple[np.ndarray, set[str], int]], penalty: float = PENALTY
         err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / total
         slope = np.bincount(col, err[row], minlength=size) + L2 * w
         moved = np.bincount(prow, pval * w[pcol], minlength=len(pairs))
-        slope += 2 * penalty / len(pairs) * np.bincount(pcol, pval * moved[prow], minlength=size)
+        slope += 2 * penalty / max(len(pairs), 1) * np.bincount(pcol, pval * moved[prow], minlength=size)
         g = np.append(slope, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -134,25 +156,29 @@ def train(docs: list[tuple[np.ndarray, set[str], int]], penalty: float = PENALTY
 
 
 def fit(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY) -> ToxicityModel:
-    """Learns from labelled documents that aren't held out: SAMPLE_ROWS of them at most on average, picked by a hash of the id."""
+    """Learns from labelled documents that aren't held out: SAMPLE_ROWS of them at most on average, picked by a hash of the id.
+
+    Labels without an id or a mark are left out; of several marks of an id the greatest counts, and each of its rows is learned
+    from. Without labels nothing is toxic.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     share = min(1.0, SAMPLE_ROWS / max(known.count(), 1))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    identity = set(IDENTITY)
-
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                sets = [words_of(t) for t in part.column(1).to_pylist()]
-                ids = [np.array(sorted({f for w in ws for f in features_of(w)}), np.uint32).tobytes() for ws in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(ws & identity) for ws in sets], pa.list_(pa.string())), pa.array(ids, pa.binary())], ["toxic", "terms", "ids"])
+                texts = part.column(1).to_pylist()
+                ids = [ids_of(words_of(t)).tobytes() for t in texts]
+                swaps = [[ids_of(words_of(s)).tobytes() for pair in counterfactuals(t) for s in pair] for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(swaps, pa.list_(pa.binary())), pa.array(ids, pa.binary())], ["toxic", "swaps", "ids"])
 
     # The sample's ids are broadcast: SAMPLE_ROWS bounds them.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("toxic").cast("int"), "text")
-    got = rows.mapInArrow(run, "toxic int, terms array<string>, ids binary").collect()
+    got = rows.mapInArrow(run, "toxic int, swaps array<binary>, ids binary").collect()
     got.sort(key=lambda r: bytes(r["ids"]))  # whatever the order in which partitions came
-    return train([(np.frombuffer(bytes(r["ids"]), np.uint32), set(r["terms"]), int(r["toxic"] > 0)) for r in got], penalty)
+    numbers = lambda x: np.frombuffer(bytes(x), np.uint32)
+    return train([(numbers(r["ids"]), [(numbers(a), numbers(b)) for a, b in zip(r["swaps"][::2], r["swaps"][1::2], strict=True)], int(r["toxic"] > 0)) for r in got], penalty)
 
 
 def scored(text: Column, model: ToxicityModel) -> Column:
