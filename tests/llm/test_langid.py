@@ -43,3 +43,29 @@ def test_edge_cases(spark):
     assert kept.columns == ["doc_id", "text"] and {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
     blank = langid.learn(table.withColumn("lang", table.text.substr(1, 0)).filter("doc_id < 0"))
     assert {r.lang_pred for r in langid.identify(table, blank).collect()} == {"und"}
+
+
+def test_predictions_by_hand(spark):
+    """Every prediction against sizes from compressors made here."""
+    import zstandard as zs
+
+    docs, rows = corpus(spark)
+    model = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+
+    def sizes(text, ahead):
+        out = {}
+        for lang, (content, fillers) in model.content.items():
+            params = zs.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=4, min_match=3, target_length=32, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+            compress = lambda x, d=content, p=params: len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p).compress(x))
+            parts = [text[i : i + langid.CHUNK].encode() for i in range(0, len(text), langid.CHUNK)]
+            out[lang] = sum(compress(f + b" " + x) - compress(f) for x in parts for f in fillers) if ahead else sum(map(compress, parts))
+        return out
+
+    for i, text, _, _ in rows[:60]:
+        for ahead in (False, True):
+            order = sorted((n, k) for k, n in sizes(" " + " ".join(text.lower().split()), ahead).items())
+            score = max(0.0, min(1.0, 1 - max(order[0][0], 0) / max(order[1][0], 1)))
+            if score >= langid.SECOND_LOOK:
+                break
+        assert got[i].lang_pred == order[0][1] and abs(got[i].score - score) < 1e-12
