@@ -42,12 +42,24 @@ WIDE = {
 }
 WIDE_GATE = {"email": "(?i)[\\[({]at[\\])}]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "phone": "[0-9]{3}[ .-][0-9]{4}"}
 
+#: Top-level domains, first octets that no host has, leading digits of card issuers, country calling codes.
+TOP_DOMAINS = (
+    "com org net edu gov mil int info biz name pro io ai app dev co me tv cc xyz online site shop blog cloud eu "
+    "de fr es it pt nl be lu ch at uk ie dk se no fi is pl cz sk hu ro bg gr hr si rs ru ua tr us ca mx br ar cl pe ve au nz jp cn tw hk kr in id my sg th vn ph za eg ng ke il ae sa"
+).split()
+NO_HOST = ["0", *map(str, range(224, 256))]
+ISSUERS = "4 51 52 53 54 55 2221 2222 2223 2224 2225 2226 2227 2228 2229 223 224 225 226 23 24 25 26 270 271 2720 34 37 300 301 302 303 304 305 36 38 39 6011 644 645 646 647 648 649 65 62 35".split()
+CALLING = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "211 212 213 216 218 233 234 254 255 256 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 382 385 386 387 389 420 421 423 "
+    "502 503 504 505 506 507 591 593 595 598 852 853 855 856 880 886 961 962 963 964 965 966 968 970 971 972 973 974 975 976 977 992 993 994 995 996 998"
+).split()
 #: Gazetteers and cues, by kind.
 KNOWN = {
-    "email": "(?i)[.)\\]} ](?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": "^(?!0|22[4-9]|2[3-5][0-9])",
-    "card": "^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "phone": "^(?:\\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\\(?[2-9])",
+    "email": f"(?i)[.)\\]}} ](?:{'|'.join(TOP_DOMAINS)})$",
+    "ip": f"^(?!(?:{'|'.join(NO_HOST)})\\.)",
+    "card": f"^(?:{'|'.join(ISSUERS)})",
+    "phone": f"^(?:\\+(?:{'|'.join(CALLING)})|\\(?[2-9])",
 }
 SHAPE = {
     "email": "^[A-Za-z0-9][^@]{0,63}(?:@|\\W+at\\W+)[A-Za-z0-9][A-Za-z0-9 .\\[\\](){}-]*[A-Za-z]{2,}$",
@@ -65,23 +77,39 @@ AGAINST = "(?i)(?:\\b(?:version|build|release|isbn|issn|order|invoice|serial|sku
 LABELERS = ("regex", "shape", "gazetteer", "check", "cue", "against", "edge")
 
 
+#: Matches that are folded at once, so that long lists aren't copied for each match.
+FOLD = 64
+
+
 def _matches(text: Column, kind: str, pattern: str, gate: str, origin: str) -> Column:
-    """Array of candidates with positions in code points: text between matches and matches alternate, so lengths add up."""
+    """Array of candidates with positions in code points: text between matches and matches alternate, so lengths add up.
+
+    What a candidate has before it are the last CONTEXT characters of the text, earlier matches included.
+    """
     some = F.regexp_like(text, F.lit(gate)) if gate != "@" else F.contains(text, F.lit("@"))
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     n = F.size(found)
     rows = F.arrays_zip(F.slice(gaps, 1, n).alias("before"), found.alias("match"), F.slice(gaps, 2, n).alias("after"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,origin:string,match:string,before:string,after:string>>").alias("out"))
+    item = "struct<kind:string,start:int,end:int,origin:string,match:string,before:string,after:string>"
+    none = F.array().cast(f"array<{item}>")
+    tail = lambda *parts: F.substring(F.concat(*parts), -CONTEXT, CONTEXT)
+    begin = lambda at, seen, out: F.struct(at.alias("at"), seen.alias("seen"), out.alias("out"))
 
     def step(acc, r):
         first = acc["at"] + F.length(r["before"])
         last = first + F.length(r["match"])
-        before, after = F.substring(r["before"], -CONTEXT, CONTEXT), F.substring(r["after"], 1, 1)
+        before, after = tail(acc["seen"], r["before"]), F.substring(r["after"], 1, 1)
         new = F.struct(F.lit(kind).alias("kind"), first.alias("start"), last.alias("end"), F.lit(origin).alias("origin"), r["match"].alias("match"), before.alias("before"), after.alias("after"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))
+        return begin(last, tail(acc["seen"], r["before"], r["match"]), F.concat(acc["out"], F.array(new)))
+
+    def block(acc, own):
+        folded = F.aggregate(own, begin(acc["at"], acc["seen"], none), step)
+        return F.get(F.transform(F.array(folded), lambda x: begin(x["at"], x["seen"], F.concat(acc["out"], F.array(x["out"])))), F.lit(0))
 
+    blocks = F.transform(F.array(rows), lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / FOLD).cast("int")), lambda b: F.slice(all_, b * FOLD + 1, F.lit(FOLD))))
+    every = F.aggregate(F.get(blocks, F.lit(0)), begin(F.lit(0), F.lit(""), F.array().cast(f"array<array<{item}>>")), block, lambda acc: F.flatten(acc["out"]))
     # Behind the gate, so that the gate alone is evaluated for a text without any.
-    return F.when(some, F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    return F.when(some & (n > 0), every).otherwise(none)
 
 
 def _digits(c: Column) -> Column:
@@ -267,18 +295,29 @@ def redacted(text: Column, model: SpanModel) -> Column:
     """The text with each run of overlapping spans replaced by the kind of its first and longest, as [EMAIL]. Null stays null."""
     order = F.array_sort(F.transform(spans_of(text, model)["all"], lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["rank"].alias("rank"))))
     kind = lambda s: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["rank"].cast("int"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    # What each span leaves out depends only on how far the spans before it reach; a block's pieces are joined to one text.
+    begin = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
 
     def step(acc, s):
         fresh = F.array(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), kind(s))
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return begin(F.greatest(acc["at"], s["end"]), out)
 
+    none = F.array().cast("array<string>")
+
+    def block(acc, own):
+        folded = F.aggregate(own, begin(acc["at"], none), step)
+        return F.get(F.transform(F.array(folded), lambda x: begin(x["at"], F.concat(acc["out"], F.array(F.array_join(x["out"], ""))))), F.lit(0))
+
+    blocks = F.transform(F.array(order), lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / FOLD).cast("int")), lambda b: F.slice(all_, b * FOLD + 1, F.lit(FOLD))))
     end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(order, start, step, end)
+    return F.when(F.size(order) > 0, F.aggregate(F.get(blocks, F.lit(0)), begin(F.lit(0), none), block, end)).otherwise(text)
 
 
 def redact(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """docs with their columns, text redacted; n_chars, where there is one, follows."""
+    """docs with their columns, text redacted; n_chars, where there is one, follows.
+
+    Null texts stay null with their n_chars; repeated rows are each redacted; an empty table gives an empty result.
+    """
     out = docs.withColumn("text", redacted(F.col("text"), model))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
