@@ -68,6 +68,12 @@ PATTERNS = (
 )
 
 
+def rules_of(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table (pattern, action, name): name is null for plain patterns. Rows without pattern or action are left out."""
+    rows = table.filter("pattern is not null and action is not null").select("pattern", "action", "name").distinct().collect()
+    return tuple(Rule(r["pattern"], r["action"], r["name"]) for r in sorted(rows, key=lambda r: (r["pattern"], r["action"], r["name"] or "")))
+
+
 def host_rules(pairs=HOST_RULES) -> tuple[Rule, ...]:
     return tuple(Rule(f"||{name}", action, name) for name, action in pairs)
 
@@ -128,8 +134,10 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
         base = base.withColumn("tokens_", url_tokens(target))
         fetched = F.array().cast(kind)
         if index:
-            # An array of (has the token ? its rules : none) is a handful of codegen'd branches for each indexed token.
-            fetched = F.flatten(F.array(*[F.when(F.array_contains("tokens_", t), F.array(*map(fields, at))).otherwise(F.array().cast(kind)) for t, at in sorted(index.items())]))
+            # Each token of the URL is looked up in a hash set of the indexed ones; those found fetch their rules.
+            hits = F.filter("tokens_", lambda t: t.isin(sorted(index)))
+            table = F.create_map(*[c for t, at in sorted(index.items()) for c in (F.lit(t), F.array(*map(fields, at)))])
+            fetched = F.flatten(F.transform(hits, lambda t: F.element_at(table, t)))
         best = F.array_min(F.filter(F.concat(fetched, always), lambda c: F.regexp_like(target, c["regex"])))
         judged = base.withColumn("best_", best)
     else:
