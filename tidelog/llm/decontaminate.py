@@ -38,6 +38,8 @@ RANK, OVERSAMPLE = 128, 10
 COSINE = 0.2
 BLOCK_CHARS = 20_000_000
 SLICE = 256
+#: Groups of tasks whose matrices are summed before the groups are.
+FAN = 64
 #: Rows of the word-by-rank matrix that are summed at once.
 ROWS = 64
 
@@ -158,10 +160,7 @@ def passages(docs: DataFrame, items: Items, df: np.ndarray, share: float) -> Dat
     lengths = np.array([window(len(w)) for w in items.words])
     needs = np.array([needed(len(w), share) for w in items.words])
     least_ = np.array(least)
-    member = np.zeros((len(items.words), size + 1), bool)
-    for i, ws in enumerate(items.words):
-        member[i, ws] = True
-    vocab = items.vocab
+    vocab, words = items.vocab, items.words
 
     def cuts(ids: np.ndarray) -> set[tuple[int, int]]:
         at = np.flatnonzero(degree[ids])
@@ -176,13 +175,17 @@ def passages(docs: DataFrame, items: Items, df: np.ndarray, share: float) -> Dat
         ok = last < len(item)
         last = np.minimum(last, len(item) - 1)
         ok &= (item[last] == item) & (pos[last] - pos < lengths[item])
-        found, before = set(), (-1, -1)
+        found, before, marked = set(), (-1, -1), np.zeros(size + 1, bool)
         for i, p in zip(item[ok].tolist(), pos[ok].tolist(), strict=True):
             if before[0] != i or p > before[1]:
                 s = int(lengths[i])
+                if before[0] != i:  # places come item by item
+                    if before[0] >= 0:
+                        marked[words[before[0]]] = False
+                    marked[words[i]] = True
                 # Serves every window that starts up to half a window later, too.
                 a, z = max(0, p - s), min(len(ids), p + s + s // 2)
-                count = np.cumsum(member[i, ids[a:z]])
+                count = np.cumsum(marked[ids[a:z]])
                 if count[-1] >= needs[i] and (z - a <= s or (count[s:] - count[:-s]).max() >= needs[i] or count[s - 1] >= needs[i]):
                     found.add((a, z))
                 before = (i, p + s // 2)
@@ -236,6 +239,20 @@ def _batches_of_rows(batches) -> Iterator[tuple[list, list[np.ndarray]]]:
             yield part.column(0).to_pylist(), [np.array(x, np.int64) for x in part.column(1).to_pylist()]
 
 
+def _added(parts: DataFrame) -> DataFrame:
+    """(block, data): the tasks' matrices summed by block, first in FAN groups of tasks, then those."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = 0
+        for x in t.column("data"):
+            total = total + np.frombuffer(x.as_buffer())
+        return pa.table({"block": t.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "block long, data binary"
+    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN))).groupBy("block", "part").applyInArrow(add, kind)
+    return some.groupBy("block").applyInArrow(add, kind)
+
+
 def latent_space(cut: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """Words by rank: the leading right singular vectors of all passages and items, by a randomised range finder.
 
@@ -259,11 +276,7 @@ def latent_space(cut: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK
         starts = range(0, size, ROWS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(starts))), pa.array([total[a : a + ROWS].tobytes() for a in starts], pa.binary())], ["block", "data"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in t.column("data").to_pylist())
-        return pa.table({"block": t.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-    parts = cut.mapInArrow(sketches, "block long, data binary").groupBy("block").applyInArrow(add, "block long, data binary").collect()
+    parts = _added(cut.mapInArrow(sketches, "block long, data binary")).collect()
     own = sketch(items.words)
     for r in parts:
         own[r["block"] * ROWS : (r["block"] + 1) * ROWS] += np.frombuffer(r["data"]).reshape(-1, wide)
@@ -280,7 +293,7 @@ def latent_space(cut: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
 
     small = gram(items.words)
-    for r in cut.mapInArrow(grams, "block long, data binary").groupBy("block").applyInArrow(add, "block long, data binary").collect():
+    for r in _added(cut.mapInArrow(grams, "block long, data binary")).collect():
         small = small + np.frombuffer(r["data"]).reshape(wide, wide)
     values, vectors = np.linalg.eigh(small)
     return q @ vectors[:, np.argsort(values)[::-1][:rank]]
@@ -345,7 +358,7 @@ def _search(cut: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, sh
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, verbatim: float = VERBATIM, cosine: float = COSINE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per leaked (doc_id, item_id): lcs_share, kind and cosine of its best passage.
 
-    Null, empty and wordless texts and items leak nothing. Repeated rows give one result row. Rows with a null doc_id are
+    Null, empty and wordless texts and items, and items without an item_id, leak nothing. Repeated rows give one result row. Rows with a null doc_id are
     reported under null. Other columns are not read; empty tables give an empty result.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
