@@ -1,8 +1,8 @@
 """SimHash near-duplicates by generalised pigeonhole.
 
 Fingerprints are linked at Hamming distance ``radius`` or less. The 64 bits are grouped into partitions of correlated bits, and
-partition i gets a threshold t_i (-1: not probed) with sum(t_i + 1) = radius + 1, so two fingerprints within the radius are
-within t_i on some partition. A dynamic programme picks the thresholds of the least estimated cost, from distances measured on
+partition i gets a threshold t_i (-1: not probed, 0 or 1) with sum(t_i + 1) = radius + 1, so two fingerprints within the radius
+are within t_i on some partition. Partitions of one plan have equal sizes, as near as may be; plans of several sizes compete. A dynamic programme picks the thresholds of the least estimated cost, from distances measured on
 pairs of the fingerprints themselves. Fingerprints then meet in buckets (partition, masked bits) and are verified on all 64 bits.
 
 Only distinct fingerprints are probed, so copies cost nothing. A bucket gives a spanning set of its links, never all pairs.
@@ -33,6 +33,8 @@ SMALL = 32
 PROBE_COST = 200.0
 #: Random partners of each fingerprint from which distances are estimated.
 PARTNERS = 8
+#: Tasks over which the members of one component are dealt.
+SALTS = 16
 #: Shingles hashed at once.
 CHUNK = 100_000
 
@@ -308,16 +310,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_doc = checkpointed(fingerprints(docs, id_col, text_col))
     distinct = checkpointed(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(distinct, radius, bucket))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
+    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int"))
+    # The members of a large component meet its least id in SALTS tasks.
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = linked.join(least, ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("linked"))
+    named = distinct.join(placed, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
     return by_doc.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; one row where an id repeats. Rows without an id stay."""
-    kept = checkpointed(near_duplicates(docs, radius=radius).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_")))
-    out = docs.filter("doc_id is not null").join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.filter("n_ > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.filter("doc_id is null")).select(*docs.columns)
