@@ -6,7 +6,7 @@ import corpus_pipeline
 from tidelog.llm import decontaminate, langid
 from tidelog.llm.sentencepiece import Codec, read_model
 
-from .test_shingle_dedup import brute_survivors
+from test_shingle_dedup import brute_survivors
 
 
 def test_stages_follow_their_operators(spark, sf_dir):
