@@ -87,3 +87,23 @@ def test_redaction(spark):
     assert both.t == "[CARD], [EMAIL]"
     empty = docs.limit(0)
     assert pii.detect(empty, pii.fit(empty)).count() == 0
+
+
+def test_long_lists(spark):
+    """Thousands of matches in one text, in more than one block; positions by hand."""
+    items = [f"a{i}@b{i % 7}.com" for i in range(3000)]
+    at, want = 0, []
+    for x in items:
+        want.append(f"email:{at}:{at + len(x)}")
+        at += len(x) + 1
+    docs = spark.createDataFrame([(1, " ".join(items))], "doc_id long, text string")
+    got = pii.detect(docs, pii.SpanModel({})).first()
+    assert got.n_email == 3000 and got.spans == ",".join(want)
+    red = pii.redact(docs, pii.SpanModel({})).first().text
+    assert red == " ".join(["[EMAIL]"] * 3000)
+
+
+def test_cues_reach_over_earlier_matches(spark):
+    docs = spark.createDataFrame([("phone: +1 212 555 0100, +1 212 555 0101",)], "text string")
+    found = [c for c in docs.select(pii.candidates(F.col("text")).alias("c")).first().c if c["kind"] == "phone" and c["plain"]]
+    assert [c["cue"] for c in found] == [1, 1]
