@@ -123,7 +123,7 @@ def leveled_step(runs: DataFrame, level: int, multiplier: int, memtable_size: in
     """The whole store (level, idx, key, value, tombstone, ts) after a leveled step.
 
     The merged runs stand where those that they replace stood, or in the gap that their range fits; what is left of the level
-    moves to its start. Levels from 2 on hold disjoint runs in order of their keys, as this step leaves them.
+    moves to its start. A level's runs are numbered from 1. Levels from 2 on hold disjoint runs in order of their keys, as this step leaves them.
     """
     columns = ["level", "idx", "key", "value", "tombstone", "ts"]
     take, sides = _chosen(_ends(runs), level, multiplier)

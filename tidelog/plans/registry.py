@@ -382,7 +382,8 @@ def compact_leveled_store(spark, sf_dir):
     runs = kv_runs(spark, sf_dir)
     half = (runs.agg(F.max("idx").alias("n")).first()["n"] or 0) // 2
     one = compaction.leveled_step(runs.filter(F.col("idx") <= half), 1, _MULT, _M40)
-    return compaction.leveled_step(runs.filter(F.col("idx") > half).select(*one.columns).union(one), 1, _MULT, _M40)
+    later = runs.filter(F.col("idx") > half).withColumn("idx", F.col("idx") - half)  # a level's runs are numbered from 1
+    return compaction.leveled_step(later.select(*one.columns).union(one), 1, _MULT, _M40)
 
 
 @query(f"WITH {RUNS}, {_cascade_sql(2)}, k AS ({_KEPT.format(t='c2')}) SELECT new_level, new_idx, count(*) AS n_rows, count(*) FILTER (tombstone) AS n_tombstones FROM k GROUP BY 1, 2")
