@@ -9,27 +9,33 @@ from .common import checkpointed
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's greater neighbours (large), or the node and its lesser ones (small), to the least of them."""
+    """Links each node's greater neighbours (large), or the node and its lesser ones (small), to the least of them.
+
+    A row for each row taken, at most; some may repeat.
+    """
     if large:
-        near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+        near = edges.select(F.explode(ends).alias("e")).select("e.u", "e.v")
     else:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m"))
     if large:
-        linked = near.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
-    else:
-        linked = near.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return linked.filter("a <> b").distinct()
+        return near.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+    return near.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Whether each node of the distinct edges (a, b), b < a, has one edge, or is the b of all its edges."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))
+    up = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+    return up.filter("up > 1 or (up = 1 and least = 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the least node reachable. All state stays in checkpoints."""
     edges = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
-    mark = None
     for _ in range(max_rounds):
-        edges = checkpointed(_star(_star(edges, True), False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(now) == mark:
+        edges = checkpointed(_star(_star(edges, True), False).distinct())
+        if _is_star(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = tuple(now)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
