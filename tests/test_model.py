@@ -291,3 +291,33 @@ def test_config_file(tmp_path):
     path = tmp_path / "settings.yml"
     path.write_text('memtable_size: 40\nmemtable_structure: "skiplist"  # comment\ntoken_cap: many\nlsm_max_level: 7\nother: 1\ntoken_rate:\nbloom_falsepositive_rate: 0.5\n\n')
     assert EngineConfig.load(str(path)) == EngineConfig.of(memtable_size=40, memtable_structure="skiplist", lsm_max_level=7, bloom_falsepositive_rate=0.5)
+
+
+def rows_of(spark, df, node):
+    """How many rows the plan's nodes of that name made, at most by one of them, when df was collected; and what was collected."""
+    got = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    values, nodes, found = store.executionMetrics(run), store.planGraph(run).allNodes(), []
+    for i in range(nodes.size()):
+        if nodes.apply(i).name() == node:
+            metrics = nodes.apply(i).metrics()
+            for m in (metrics.apply(k) for k in range(metrics.size())):
+                if m.name() in ("number of output rows", "shuffle records written") and values.contains(m.accumulatorId()):
+                    found.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return max(found), got
+
+
+def test_runs_that_span_everything_are_not_met_once_a_range(spark):
+    """Each pair of runs is looked at where the later one begins, and not in each range that both span."""
+    rows = [(1, i, k) for i in range(400) for k in (f"a{(i * 7) % 400:04d}", f"z{(i * 11) % 400:04d}")]
+    rows += [(1, 400, "a0000"), (1, 401, "zz"), (1, 402, "zz"), (1, 403, None)]
+    made, got = rows_of(spark, scan.overlaps(spark.createDataFrame(rows, "level int, idx long, key string")), "Generate")
+    ends = {}
+    for _, i, k in rows:
+        if k is not None:
+            ends.setdefault(i, []).append(k)
+    want = [(i, j) for i in ends for j in ends if i < j and not (max(ends[i]) < min(ends[j]) or min(ends[i]) > max(ends[j]))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert made <= 16 * 403

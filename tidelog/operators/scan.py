@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import checkpointed, numbered
 from .point import find
 
 
@@ -38,18 +39,30 @@ def bounds(pages: DataFrame) -> DataFrame:
     return pages.withColumn("first_row", F.when(F.col("number") < 1, 1).otherwise((F.col("number") - 1) * F.col("size") + 1)).withColumn("last_row", F.greatest(F.lit(0), F.col("number") * F.col("size")))
 
 
-#: Ranges into which keys are cut when runs are held against each other.
-RANGES = 256
+#: Places of the order of all run bounds that are joined as one block; tasks over which the runs that span a block are dealt; pairs a task.
+BLOCK, SALTS, TASK_PAIRS = 1024, 16, 4_000_000
+
+
+def spans(runs: DataFrame) -> DataFrame:
+    """(idx, from_, to_): the places of each run's first and last key in the order of all of them; equal keys: first ones before last ones."""
+    ends = runs.groupBy("level", "idx").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).filter(F.col("first_key").isNotNull())
+    marks = F.array(F.struct(F.col("first_key").alias("key"), F.lit(0).alias("last")), F.struct(F.col("last_key").alias("key"), F.lit(1).alias("last")))
+    placed = numbered(ends.select("level", "idx", F.explode(marks).alias("m")).select("level", "idx", "m.key", "m.last"), ["key", "last"])
+    return checkpointed(placed.groupBy("level", "idx").agg(F.min("pos").alias("from_"), F.max("pos").alias("to_")).select("idx", "from_", "to_"))
 
 
 def overlaps(runs: DataFrame) -> DataFrame:
-    """Pairs of runs whose key ranges meet. Only run bounds are joined: one row for each run and each of RANGES key ranges that it spans."""
-    ends = runs.groupBy("level", "idx").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    starts = ends.select("first_key").distinct().orderBy(F.xxhash64("first_key")).limit(RANGES - 1).collect()  # any cuts will do
-    cuts = F.array(*[F.lit(k) for k in sorted(r["first_key"] for r in starts)]).cast("array<string>")
-    place = lambda key: F.size(F.filter(cuts, lambda c: c <= F.col(key)))
-    cut = ends.withColumn("from_", place("first_key")).withColumn("range_", F.explode(F.sequence("from_", place("last_key"))))
-    a, b = (cut.select(*[F.col(c).alias(c if c == "range_" else f"{c}_{x}") for c in cut.columns]) for x in "ab")
-    apart = (F.col("last_key_a") < F.col("first_key_b")) | (F.col("first_key_a") > F.col("last_key_b"))
-    once = F.col("range_") == F.greatest("from__a", "from__b")  # the first range that both span
-    return a.join(b, "range_").filter(once & (F.col("idx_a") < F.col("idx_b")) & ~apart).select("idx_a", "idx_b")
+    """Pairs of runs whose key ranges meet: of two such runs, one begins within the other.
+
+    Each run meets the runs that begin in the blocks which it spans. But for its first and last block these are its pairs, so the work
+    follows the result.
+    """
+    found = spans(runs)
+    most = found.agg(F.sum(F.col("to_") - F.col("from_")).alias("n")).first()["n"] or 0
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
+    a = found.select(F.col("idx").alias("idx_a"), "from_", "to_", F.explode(F.sequence(block("from_"), block("to_"))).alias("block"), F.pmod("from_", F.lit(SALTS)).alias("salt"))
+    b = found.select(F.col("idx").alias("idx_b"), F.col("from_").alias("at_"), block("from_").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
+    tasks = int(most // TASK_PAIRS) + 1
+    a, b = (x.repartition(tasks, "block", "salt") for x in (a, b))
+    met = a.join(b.hint("merge"), ["block", "salt"]).filter((F.col("at_") > F.col("from_")) & (F.col("at_") <= F.col("to_")) & (F.col("idx_a") != F.col("idx_b")))
+    return met.select(F.least("idx_a", "idx_b").alias("idx_a"), F.greatest("idx_a", "idx_b").alias("idx_b"))
