@@ -321,3 +321,29 @@ def test_runs_that_span_everything_are_not_met_once_a_range(spark):
     want = [(i, j) for i in ends for j in ends if i < j and not (max(ends[i]) < min(ends[j]) or min(ends[i]) > max(ends[j]))]
     assert sorted(map(tuple, got)) == sorted(want)
     assert made <= 16 * 403
+
+
+def test_near_pairs_are_not_shuffled(spark, monkeypatch):
+    """What is dealt out grows with the fingerprints, not with their pairs; and no pair is lost or given twice over several blocks."""
+    rng = random.Random(5)
+    prints = set()
+    for _ in range(3):
+        base = [rng.choice("01") for _ in range(256)]
+        for _ in range(150):
+            x = list(base)
+            for i in rng.sample(range(256), rng.randint(0, 8)):
+                x[i] = "10"[int(x[i])]
+            prints.add("".join(x))
+    prints = sorted(prints | {"0" * 256, "1" * 256, "1" + "0" * 255, "0" * 32 + "1" * 12 + "0" * 212, "0" * 32 + "1" * 13 + "0" * 211})
+    apart = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
+    want = sorted((x, y, d) for i, x in enumerate(prints) for y in prints[i + 1 :] if (d := apart(x, y)) <= 12)
+    df = spark.createDataFrame([(x,) for x in prints + prints], "fingerprint string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        dealt, got = rows_of(spark, fingerprint.near_pairs(df, 12), "Exchange")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got)) == want and len(want) > 10_000
+    assert dealt <= 4 * len(prints)
+    monkeypatch.setattr(fingerprint, "BLOCK", 100)
+    assert sorted(map(tuple, fingerprint.near_pairs(df, 12).collect())) == want
