@@ -84,3 +84,33 @@ def test_bitmaps_never_rule_out_too_much():
         apart = sh.bits_apart(sh.bitmap(a), sh.bitmap(b))
         assert sh.Bitmaps([sh.bitmap(a), sh.bitmap(b)]).apart(0, sh.np.arange(2)).tolist() == [0, apart]
         assert apart <= len(set(a.tolist()) ^ set(b.tolist())) and sh.bits_apart(sh.bitmap(a), sh.bitmap(a)) == 0
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """The generalised pigeonhole gives components by itself; the exact check undoes links of unlike texts."""
+    rng = random.Random(11)
+    texts = []
+    for i in range(30):
+        base = [f"v{i}_{rng.randrange(900)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base, f"end{i}"]), " ".join([*base, "one", "more"])]
+    texts += [f"short {i}" for i in range(40)]
+    hashes = [sh.shingles(t.encode()) for t in texts]
+    fps = [sh.fingerprint_of(h) for h in hashes]
+    want, left = set(), set(range(len(texts)))
+    while left:
+        front = [min(left)]
+        want.add(front[0])
+        left -= set(front)
+        while front:
+            x = front.pop()
+            near = {i for i in left if (fps[i] ^ fps[x]).bit_count() <= 4 and len(set(hashes[i]) & set(hashes[x])) * 9 >= 4 * (len(hashes[i]) + len(hashes[x]))}
+            front += near
+            left -= near
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(sh, "prefix", lambda hashes, common: hashes[:0])  # the exact way finds nothing
+    kept = {r.doc_id for r in sh.keep_one(docs).collect()}
+    assert kept == want and len(kept) < len(texts) - 40
+    fp = spark.createDataFrame([(sh.node_of(h), f) for h, f in zip(hashes, fps, strict=True)], "node long, fp long").distinct()
+    wide = {(r.a, r.b) for r in sh.linked(fp, 40).collect()}
+    assert len(wide) >= len(texts) - 1  # at that radius also unlike texts are linked
+    assert sh.possible(sh.linked(fp.limit(0)), fp.withColumn("place", F.col("fp")).withColumn("bits", F.lit(b""))).count() == 0

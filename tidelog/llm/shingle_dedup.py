@@ -1,6 +1,10 @@
 """Near-duplicates by exact Jaccard similarity of word shingles: five words, 0.8 or more.
 
-A text is the set of its five-word shingles. Shingles are put into one global order, common ones last. Two sets of Jaccard
+A text is the set of its five-word shingles. Sets have SimHash fingerprints, which op7's generalised pigeonhole links; the sets of
+linked fingerprints are compared, and the similar ones are the first components. A similarity of 0.8 leaves fingerprints further
+apart than any radius that pigeonhole can serve, so links between components that remain are found exactly, as follows.
+
+Shingles are put into one global order, common ones last. Two sets of Jaccard
 similarity t or more share a shingle among the first n - ceil(t n) + 1 of each (prefix filtering), so texts that share such a
 shingle are candidates; their sizes and the place of the shingle rule many of them out. Each set also has a bitmap, a bit for
 each shingle's place flipped once per shingle: bitmaps of two sets differ in no more bits than the sets do in shingles, so those
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 from .components import connected_components
-from .simhash_dedup import CHUNK, SEED
+from .simhash_dedup import CHUNK, RADIUS, SEED, fingerprint_of, links
 
 SHINGLE = 5
 #: Documents from which common shingles are learned, and how many shingles at most count as common.
@@ -119,11 +123,11 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
 
 
-CELL = "key long, place long, node long, doc_id long, text_hash long, bits binary"
+CELL = "key long, place long, node long, doc_id long, text_hash long, bits binary, fp long"
 
 
 def cells(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """CELL: (key, place, node) for each shingle of a prefix, and for each row, dealt out by its number, its names and its set's size and bitmap.
+    """CELL: (key, place, node) for each shingle of a prefix, and for each row, dealt out by its number, its names and its set's size, bitmap and fingerprint.
 
     A place is size << 32 | position. Copies within a task give the cells of one.
     """
@@ -139,14 +143,14 @@ def cells(rows: DataFrame, common: np.ndarray) -> DataFrame:
             size = np.array([len(s) for s in sets], np.int64) << 32
             spread = np.frombuffer(b"".join(xxhash.xxh64_digest((count + i).to_bytes(8, "big")) for i in range(len(sets))), np.int64)
             count += len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(size), pa.array(named, pa.int64()), part.column(0), part.column(1), pa.array(list(map(bitmap, sets)), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(size), pa.array(named, pa.int64()), part.column(0), part.column(1), pa.array(list(map(bitmap, sets)), pa.binary()), pa.array([fingerprint_of(s) for s in sets], pa.int64())], names)
             fresh = [i for i, x in enumerate(named) if not (x in seen or seen.add(x))]
             keys = [prefix(sets[i], common).view(np.int64) for i in fresh]
             lengths = [len(k) for k in keys]
             flat = np.concatenate([np.zeros(0, np.int64), *keys])
             place = np.concatenate([np.zeros(0, np.int64), *(size[i] + np.arange(n) for i, n in zip(fresh, lengths, strict=True))])
             none = pa.nulls(len(flat), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(place), pa.array(np.repeat(np.array([named[i] for i in fresh], np.int64), lengths)), none, none, pa.nulls(len(flat), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(place), pa.array(np.repeat(np.array([named[i] for i in fresh], np.int64), lengths)), none, none, pa.nulls(len(flat), pa.binary()), none], names)
 
     return rows.mapInArrow(run, CELL)
 
@@ -319,6 +323,25 @@ def possible(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return both.select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
 
 
+def linked(own: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of sets that the generalised pigeonhole on their fingerprints gives. own: (node, fp).
+
+    Sets of one fingerprint are paired with the least of them, which stands for them in links to other fingerprints.
+    """
+    least = checkpointed(own.groupBy("fp").agg(F.min("node").alias("least")))
+    same = own.join(least, "fp").filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda fp, name: least.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    near = links(least, radius).toDF("x", "y").distinct().join(end("x", "p"), "x").join(end("y", "q"), "y")
+    return same.union(near.select(F.least("p", "q"), F.greatest("p", "q"))).distinct()
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that roots doesn't connect."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    placed = pairs.join(a, "a", "left").join(b, "b", "left")
+    return placed.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _filter_words(named: DataFrame) -> np.ndarray:
     """Bit filter of the nodes, FILTER_BITS at most."""
     bit = F.pmod(F.col("node"), F.lit(FILTER_BITS))
@@ -359,19 +382,20 @@ def components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, root) of all nodes that are similar to another, and (doc_id, text_hash, node) of all rows."""
     met = checkpointed(_meet(cells(rows, common_shingles(rows.select("text")))))
     own = met.filter("text_hash is not null")
-    known = own.select("node", "place", "bits").dropDuplicates(["node"])
+    known = own.select("node", "place", "bits", "fp").dropDuplicates(["node"])
     pairs = lambda met: met.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near, roots, sets = checkpointed(possible(pairs(met), known)), None, None
-    spanning = True
+    nodes = lambda pairs: pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+    first = checkpointed(possible(linked(known.select("node", "fp")), known))
+    near = checkpointed(possible(pairs(met), known))
+    sets = checkpointed(_sets(rows, nodes(first.union(near))))
+    roots = connected_components(similar(first, sets))
+    near, spanning = checkpointed(between(near, roots)), True
     while True:
-        wanted = near.select("a").union(near.select("b")).toDF("node").distinct()
-        if sets is None:
-            sets = checkpointed(_sets(rows, wanted))
-        elif not (wanted := checkpointed(wanted.join(sets.select("node"), "node", "left_anti"))).isEmpty():
+        if not (wanted := checkpointed(nodes(near).join(sets.select("node"), "node", "left_anti"))).isEmpty():
             sets = sets.union(checkpointed(_sets(rows, wanted)))
         found = checkpointed(similar(near, sets))
         # the components so far stand for the links that made them
-        roots = connected_components(found if roots is None else found.union(roots.toDF("a", "b")))
+        roots = connected_components(found.union(roots.toDF("a", "b")))
         rest = met.filter("a is null and text_hash is null").select("key", "place", "node")
         if rest.isEmpty():
             return roots, own.select("doc_id", "text_hash", "node")

@@ -55,6 +55,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Fingerprint of hashes that are at hand already, as a signed long: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed long. Null and empty texts have fingerprint 0."""
 
