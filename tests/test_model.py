@@ -347,3 +347,34 @@ def test_near_pairs_are_not_shuffled(spark, monkeypatch):
     assert dealt <= 4 * len(prints)
     monkeypatch.setattr(fingerprint, "BLOCK", 100)
     assert sorted(map(tuple, fingerprint.near_pairs(df, 12).collect())) == want
+
+
+def test_near_pairs_on_disk_grow_with_the_fingerprints_over_many_blocks(spark, monkeypatch):
+    """Each fingerprint is dealt out a fixed number of times, however many blocks there are; also with several blocks in a partition and many rows out of one block."""
+    rng = random.Random(6)
+    prints = set()
+    for _ in range(3):
+        base = [rng.choice("01") for _ in range(256)]
+        for _ in range(130):
+            x = list(base)
+            for i in rng.sample(range(256), rng.randint(0, 9)):
+                x[i] = "10"[int(x[i])]
+            prints.add("".join(x))
+    prints = sorted(prints | {"0" * 256, "1" * 256, "01" * 128, "10" * 128, "0" * 255 + "1", "1" * 64 + "0" * 192, "1" * 63 + "0" * 193})
+    apart = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
+    want = sorted((x, y, d) for i, x in enumerate(prints) for y in prints[i + 1 :] if (d := apart(x, y)) <= 12)
+    df = spark.createDataFrame([(x,) for x in [*prints, *prints, None]], "fingerprint string")
+    monkeypatch.setattr(fingerprint, "BLOCK", 20)
+    dealt, got = rows_of(spark, fingerprint.near_pairs(df, 12), "Exchange")
+    assert sorted(map(tuple, got)) == want and len(want) > 5_000
+    assert dealt <= 4 * len(prints)
+    monkeypatch.setattr(fingerprint, "PARTITIONS", 3)
+    assert sorted(map(tuple, fingerprint.near_pairs(df, 12).collect())) == want
+    packed = [int(x, 2).to_bytes(32, "big") for x in prints]
+    for tile, rows in ((512, 1 << 14), (64, 40)):
+        monkeypatch.setattr(fingerprint, "TILE", tile)
+        monkeypatch.setattr(fingerprint, "PAIRS", rows)
+        found = [r for b in fingerprint.met(packed, packed[::-1], 12) for r in b.to_pylist()]
+        assert max(len(r["pairs"]) for r in found) <= rows
+        assert sorted((r["texts_a"][p >> 40], r["texts_b"][p >> 9 & (1 << 31) - 1], p & 511) for r in found for p in r["pairs"]) == want
+    assert fingerprint.near_pairs(df.limit(0), 12).count() == 0
